@@ -1,8 +1,9 @@
-"""Byte-level BPE, encoded with a contiguous rank array and decoded again.
+"""Byte-level BPE, encoded with contiguous rank arrays and decoded again.
 
-A word is short, so its parts are kept as plain arrays: where each part starts, and the rank of
-joining it with the next. The least rank is found by a scan, its boundary is deleted, and only the
-two neighbouring ranks are looked up anew. Each task keeps the words it has met, up to a bound.
+A word is short, so its parts and the ranks of joining neighbours are kept in plain arrays: the least
+rank is found by a scan, its boundary is deleted, and only the two neighbouring ranks are looked up
+anew. numpy does this for all new words of a batch at once, a row of a matrix for each. Each task
+keeps the words it has met, up to a bound.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WordStore, gather
+
 #: The split pattern of the vocabulary's byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a task remembers; all are forgotten when there are more.
 CACHE_WORDS = 400_000
-#: Words longer than this many bytes are joined by a heap, so that a long one costs n log n.
-SCAN_BYTES = 192
+#: Words are put in matrices by their length in bytes; longer ones are joined by a heap, so that a long word costs n log n.
+WIDTHS = (0, 1, 2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 96, 192)
 NO_RANK = 1 << 60
 
 
@@ -46,28 +49,104 @@ class Bpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks.setdefault((raw(left), raw(right)), rank)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.split = regex.compile(PATTERN)
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: bytes) -> tuple[int, ...]:
-        """The ids of one word."""
-        if len(word) > SCAN_BYTES:
-            return self._long_word(word)
-        ranks, bounds = self.ranks, list(range(len(word) + 1))
-        rank = [ranks.get((word[i : i + 1], word[i + 1 : i + 2]), NO_RANK) for i in range(len(word) - 1)]
-        while rank:
-            i = rank.index(least := min(rank))
-            if least == NO_RANK:
+        self.of_byte = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
+        pairs = [(self.id_of[a], self.id_of[b], rank, self.id_of[a + b]) for (a, b), rank in self.ranks.items()]
+        left, right, rank, joined = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.joined = np.zeros(int(rank.max()) + 1, np.int64)
+        self.joined[rank] = joined
+        self._hash_pairs((left << 32) | right, rank)
+        tokens = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.size = max(tokens) + 1
+        self.token_len = np.array([len(tokens.get(i, b"")) for i in range(self.size)], np.int64)
+        self.token_at = np.cumsum(self.token_len) - self.token_len
+        self.token_bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(self.size)), np.uint8)
+        self.store = WordStore(CACHE_WORDS)
+
+    def _hash_pairs(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """An open-addressing table from pairs of ids to ranks."""
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.pair, self.pair_rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NO_RANK, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.pair[slot[left]] == -1
+            _, first = np.unique(slot[left][free], return_index=True)
+            put = left[free][first]
+            self.pair[slot[put]], self.pair_rank[slot[put]] = keys[put], ranks[put]
+            left = np.setdiff1d(left, put)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left << 32) | right
+        slot = self._slot(keys)
+        out = np.where(self.pair[slot] == keys, self.pair_rank[slot], NO_RANK)
+        rest = np.flatnonzero((self.pair[slot] != keys) & (self.pair[slot] != -1))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+            there = self.pair[slot[rest]]
+            out[rest] = np.where(there == keys[rest], self.pair_rank[slot[rest]], out[rest])
+            rest = rest[(there != keys[rest]) & (there != -1)]
+        return out
+
+    def _joined(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of some words of about the same length, a row each, and how many parts each has."""
+        width = int(lengths.max())
+        column = np.arange(width)
+        valid = column < lengths[:, None]
+        parts = np.full(valid.shape, 0, np.int64)
+        parts[valid] = self.of_byte[gather(raw, starts, lengths)]
+        n = lengths.copy()
+        if width == 1:
+            return parts, n
+        ranks = np.full((len(n), width), NO_RANK, np.int64)
+        both = valid[:, 1:]
+        ranks[:, :-1][both] = self.pair_ranks(parts[:, :-1][both], parts[:, 1:][both])
+        live = np.arange(len(n))
+        while len(live):
+            r = ranks[live]
+            i = r.argmin(1)
+            least = r[np.arange(len(live)), i]
+            go = least < NO_RANK
+            live, i, least, r = live[go], i[go], least[go], r[go]
+            if not len(live):
                 break
-            del bounds[i + 1], rank[i]  # parts i and i + 1 are one now
-            part = word[bounds[i] : bounds[i + 1]]
-            if i < len(rank):
-                rank[i] = ranks.get((part, word[bounds[i + 1] : bounds[i + 2]]), NO_RANK)
-            if i:
-                rank[i - 1] = ranks.get((word[bounds[i - 1] : bounds[i]], part), NO_RANK)
-        return tuple(self.id_of[word[a:b]] for a, b in zip(bounds, bounds[1:], strict=False))
+            row = np.arange(len(live))
+            shift = np.minimum(column + (column > i[:, None]), width - 1)  # deletes the boundary after part i
+            p = np.take_along_axis(parts[live], shift, 1)
+            r = np.take_along_axis(r, np.minimum(column + (column >= i[:, None]), width - 1), 1)
+            p[row, i] = self.joined[least]
+            n[live] -= 1
+            r[:, -1] = NO_RANK
+            after, before = np.flatnonzero(i + 1 < n[live]), np.flatnonzero(i > 0)
+            r[row, i] = NO_RANK
+            r[after, i[after]] = self.pair_ranks(p[after, i[after]], p[after, i[after] + 1])
+            r[before, i[before] - 1] = self.pair_ranks(p[before, i[before] - 1], p[before, i[before]])
+            parts[live], ranks[live] = p, r
+        return parts, n
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        raw, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+        n, pieces = np.zeros(len(words), np.int64), []
+        for low, high in zip(WIDTHS, WIDTHS[1:], strict=False):
+            of = np.flatnonzero((lengths > low) & (lengths <= high))
+            for part in np.array_split(of, 1 + len(of) * high // (1 << 18)) if len(of) else ():
+                ids, n[part] = self._joined(raw, starts[part], lengths[part])
+                pieces.append((part, ids[np.arange(ids.shape[1]) < n[part, None]]))
+        for j in np.flatnonzero(lengths > WIDTHS[-1]).tolist():
+            ids = self._long_word(words[j])
+            n[j] = len(ids)
+            pieces.append((np.array([j]), np.array(ids, np.int64)))
+        out, at = np.empty(int(n.sum()), np.int32), np.cumsum(n) - n
+        for part, ids in pieces:
+            out[gather(np.arange(len(out)), at[part], n[part])] = ids
+        return out, n
 
     def _long_word(self, word: bytes) -> tuple[int, ...]:
         """The same ids by a heap over linked parts: the least rank first, then the leftmost."""
@@ -96,32 +175,40 @@ class Bpe:
             i = end[i]
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        at = 0
-        for m in self.at_special.finditer(text) if self.at_special else ():
-            self._plain(text[at : m.start()], out)
-            out.append(self.special[m[0]])
-            at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out
-
-    def _plain(self, text: str, out: list[int]) -> None:
-        cache = self.cache
-        for w in self.split.findall(text):
-            ids = cache.get(w)
-            if ids is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                ids = self.word(w.encode("utf-8", "surrogatepass"))
-                if len(w) <= SCAN_BYTES:
-                    cache[w] = ids
-            out += ids
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            at = 0
+            for m in self.at_special.finditer(text) if self.at_special else ():
+                words += self.split.findall(text[at : m.start()])
+                words.append(m[0])  # no word that the pattern splits off is a special token's string
+                at = m.end()
+            words += self.split.findall(text[at:] if at else text)
+            ends.append(len(words))
+        store = self.store
+        numbers = store.numbers(words)
+        if store.fresh:
+            ids, n = self.words([w.encode("utf-8", "surrogatepass") for w in store.fresh])
+            if self.special and (of := [k for k, w in enumerate(store.fresh) if w in self.special]):
+                pieces = np.split(ids, np.cumsum(n)[:-1])
+                for k in of:
+                    pieces[k], n[k] = np.array([self.special[store.fresh[k]]], np.int32), 1
+                ids = np.concatenate(pieces)
+            store.learn(ids, n)
+        ids, n = store.ids(numbers)
+        sums = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.array(ends, np.int64)))]
+        return ids, np.diff(sums)
 
-    def decode(self, ids) -> str:
-        """Bytes that aren't UTF-8 become U+FFFD; ids outside the vocabulary are skipped."""
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of runs of ids. Bytes that aren't UTF-8 become U+FFFD; ids outside the vocabulary are skipped."""
+        ids = ids.astype(np.int64)
+        known = (ids >= 0) & (ids < self.size)
+        ids, lengths = np.where(known, ids, 0), np.where(known, self.token_len[np.where(known, ids, 0)], 0)
+        raw = gather(self.token_bytes, self.token_at[ids], lengths).tobytes()
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -130,11 +217,24 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts or lists have about `most` values together; a longer one is alone."""
+    import pyarrow.compute as pc
+
+    kind = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    sums = np.cumsum(np.concatenate(([0], kind(column).fill_null(0).to_numpy(zero_copy_only=False))))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def _map(rows: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 256):  # the ids of a few hundred texts at a time
-                yield fn(b.slice(at, 256))
+            for at, to in slices(b.column(1)):
+                yield fn(b.slice(at, to - at))
 
     return rows.mapInArrow(run, schema)
 
@@ -147,11 +247,9 @@ def bpe_encode(docs: DataFrame, vocab_path: str) -> DataFrame:
     """
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = load(vocab_path)
-        ids = [np.array(bpe.encode(t or ""), np.int32) for t in b.column(1).to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), lists], names=["doc_id", "n_tokens", "ids"])
+        ids, n = load(vocab_path).encode([t or "" for t in b.column(1).to_pylist()])
+        ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "n_tokens", "ids"])
 
     return _map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), encode, "doc_id long, n_tokens long, ids array<int>")
 
@@ -160,11 +258,11 @@ def bpe_decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     """One row per row of `encoded` (doc_id, ids): doc_id, n_tokens, text, ids_sha256 (of the ids as little-endian unsigned 32-bit integers). Null ids count as none."""
 
     def decode(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, out = load(vocab_path), []
-        for x in b.column(1):
-            ids = x.values.to_numpy(zero_copy_only=False).astype("<u4") if x.is_valid else np.empty(0, "<u4")
-            out.append((len(ids), bpe.decode(ids.tolist()), hashlib.sha256(ids.tobytes()).hexdigest()))
-        n, text, sha = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_tokens", "text", "ids_sha256"])
+        lists = b.column(1).fill_null([])
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        raw, ends = ids.astype("<u4").tobytes(), np.concatenate(([0], 4 * np.cumsum(counts))).tolist()
+        sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(ends, ends[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(load(vocab_path).decode(ids, counts), pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_tokens", "text", "ids_sha256"])
 
     return _map(encoded.select("doc_id", "ids"), decode, "doc_id long, n_tokens long, text string, ids_sha256 string")

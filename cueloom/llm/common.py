@@ -47,34 +47,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(words: list) -> np.ndarray:
-    """64-bit keyed SipHash of each word (bytes or str); the same on every machine."""
-    if not words:
-        return np.empty(0, np.uint64)
-    from pandas.util import hash_array
-
-    a = np.empty(len(words), dtype=object)
-    a[:] = words
-    return hash_array(a, categorize=False)
-
-
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k consecutive word hashes; empty when there are fewer."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):  # the multiplier is odd, so no word's bits are lost
-            out = (out + h[i : i + n]) * np.uint64(0xD6E8FEB86659FD93) ^ (out >> np.uint64(29))
-    return mix64(out)
-
-
-def lower_az(text: str | None) -> bytes:
-    """UTF-8 with A-Z lowered and nothing else changed."""
-    return (text or "").encode("utf-8", "surrogatepass").lower()
-
-
 def crc_bucket(col: str, mod: int):
     """crc32 of an id written as text, modulo mod; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """flat[starts[i] : starts[i] + lengths[i]] for every i, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total, dtype=np.int64) + np.repeat(starts - ends + lengths, lengths)]
+
+
+class WordStore(dict):
+    """Numbers words in the order they are met, and keeps each one's ids in one flat array; it is emptied when it holds `limit` words."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.fresh: list = []
+        self.flat, self.starts, self.lengths = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
+        self.used = 0
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+    def numbers(self, words: list) -> np.ndarray:
+        if len(self) >= self.limit:
+            self.empty()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the fresh words, in their order."""
+        at, to = len(self) - len(self.fresh), len(self)
+        while len(self.starts) < to:
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[at:to] = lengths
+        self.starts[at:to] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.fresh = []
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, and how many each has."""
+        lengths = self.lengths[numbers].astype(np.int64)
+        return gather(self.flat, self.starts[numbers], lengths), lengths

@@ -10,48 +10,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import window_hashes, word_hashes
+from .words import ALNUM, Words, in_slices
 
 #: Most bytes of benchmark text that are held in each task; a larger benchmark is scanned in several passes.
 PASS_BYTES = 32 << 20
 WINDOW = 10
 
-#: Bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z were lowered: digits, a-z and all of non-ASCII; the rest become spaces.
-_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
-
 
 class Windows:
-    """The windows of benchmark items by hash; items shorter than the window are one window of their own length."""
+    """The windows of benchmark items by hash; an item with fewer words than the window is one window of its own length."""
 
     def __init__(self, items: list[tuple], width: int = WINDOW):
         found: dict[int, dict[int, dict[tuple, set]]] = {}
-        for item_id, text in items:
-            w = words_of(text)
-            k = min(width, len(w))
-            if k:
-                for i, h in enumerate(window_hashes(word_hashes(w), k).tolist()):
-                    found.setdefault(k, {}).setdefault(h, {}).setdefault(tuple(w[i : i + k]), set()).add(item_id)
-        self.by_width = {k: (np.array(sorted(d), np.uint64), d) for k, d in sorted(found.items())}
+        for at, words in in_slices(pa.array([t for _, t in items], pa.string()), ALNUM):
+            for i in range(len(words)):
+                lo, hi = int(words.first[i]), int(words.first[i + 1])
+                k = min(width, hi - lo)
+                if k:
+                    hashes = words.windows(k)[0]
+                    text = [words.word(j) for j in range(lo, hi)]
+                    for j in range(lo, hi - k + 1):
+                        found.setdefault(k, {}).setdefault(int(hashes[j]), {}).setdefault(tuple(text[j - lo : j - lo + k]), set()).add(items[at + i][0])
+        self.at = found
+        self.keys = {k: np.array(sorted(d), np.uint64) for k, d in sorted(found.items())}
         self.marks = {}
-        for k, (keys, _) in self.by_width.items():  # a first look by 22 bits spares most searches
+        for k, keys in self.keys.items():  # a first look by 22 bits spares most searches
             self.marks[k] = np.zeros(1 << 22, bool)
             self.marks[k][(keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, words: list[bytes], h: np.ndarray) -> tuple[np.ndarray, set]:
-        """The words that are inside an occurrence of a window, and the ids of the items whose windows occur."""
-        hit, items = np.zeros(len(words) + 1, np.int64), set()
-        for k, (keys, at) in self.by_width.items():
-            w = window_hashes(h, k)
-            maybe = np.flatnonzero(self.marks[k][(w >> np.uint64(42)).astype(np.int64)])
+    def hits(self, words: Words) -> tuple[np.ndarray, dict[int, set]]:
+        """Which words are inside an occurrence of a window, and by text the ids of the items whose windows occur."""
+        hit, items = np.zeros(len(words.hash) + 1, np.int64), {}
+        for k, keys in self.keys.items():
+            h, whole = words.windows(k)
+            maybe = np.flatnonzero(self.marks[k][(h >> np.uint64(42)).astype(np.int64)] & whole)
             if len(maybe):
-                pos = np.minimum(np.searchsorted(keys, w[maybe]), len(keys) - 1)
-                for i in maybe[keys[pos] == w[maybe]].tolist():  # verified word by word
-                    if ids := at[int(w[i])].get(tuple(words[i : i + k])):
-                        items |= ids
+                pos = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+                maybe = maybe[keys[pos] == h[maybe]]
+                text = np.searchsorted(words.first, maybe, "right") - 1
+                for i, t in zip(maybe.tolist(), text.tolist(), strict=True):  # verified word by word
+                    if ids := self.at[k][int(h[i])].get(tuple(words.word(j) for j in range(i, i + k))):
+                        items.setdefault(t, set()).update(ids)
                         hit[i] += 1
                         hit[i + k] -= 1
         return np.cumsum(hit)[:-1] > 0, items
@@ -78,16 +77,13 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, width: int, finish, schema)
         def scan(batches: Iterator[pa.RecordBatch], items=items, last=p == n - 1) -> Iterator[pa.RecordBatch]:
             windows = Windows(items.value, width)
             for b in batches:
-                texts = b.column(at)
-                before = zip(b.column(width_in).to_pylist(), b.column(width_in + 1).to_pylist(), strict=True) if b.num_columns > width_in else None
                 hits = []
-                for i in range(len(texts)):
-                    words = words_of(texts[i].as_py())
-                    mask, found = windows.hits(words, word_hashes(words)) if words else (np.zeros(0, bool), set())
-                    if before is not None:
-                        old, ids = next(before)
-                        mask, found = mask | np.frombuffer(old, bool), found | set(ids)
-                    hits.append((mask, found))
+                for _, words in in_slices(b.column(at), ALNUM):
+                    mask, found = windows.hits(words)
+                    hits += [(mask[lo:hi], found.get(i, set())) for i, (lo, hi) in enumerate(zip(words.first[:-1], words.first[1:], strict=True))]
+                if b.num_columns > width_in:
+                    before = zip(b.column(width_in).to_pylist(), b.column(width_in + 1).to_pylist(), strict=True)
+                    hits = [(mask | np.frombuffer(old, bool), found | set(ids)) for (mask, found), (old, ids) in zip(hits, before, strict=True)]
                 b = b.select(range(width_in))
                 if last:
                     yield finish(b, hits)
@@ -145,7 +141,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
 
 def _cut(text: str, hit: np.ndarray) -> str:
     raw = text.encode("utf-8", "surrogatepass")
-    inside = np.frombuffer(raw.translate(_WORDS), np.uint8) != 32
+    inside = np.frombuffer(raw.translate(ALNUM), np.uint8) != 32
     (starts, ends), (first, last) = _runs(inside), _runs(hit)
     out, at = [], 0
     for a, b in zip(first, last, strict=True):
