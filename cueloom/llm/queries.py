@@ -12,6 +12,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .token_planes import read_tokens, token_files
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +30,14 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_token_planes": op7_token_planes,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }
 
