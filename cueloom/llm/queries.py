@@ -14,6 +14,7 @@ from .common import settled, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .token_planes import read_tokens, token_files
+from .warc import capture_histories
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +43,18 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(settled(format_turns(turns)))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = capture_histories(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_planes": op7_token_planes,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op9_warc": op9_warc,
 }
 
 SQL: dict[str, str] = {
