@@ -14,9 +14,16 @@ from .common import settled, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .token_planes import read_tokens, token_files
+from .toxicity import held_out, learn, toxicity
 from .warc import capture_histories
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity(docs, lexicon).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,6 +56,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
