@@ -59,8 +59,8 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.arange(total, dtype=np.int64) + np.repeat(starts - ends + lengths, lengths)]
 
 
-class WordStore(dict):
-    """Numbers words in the order they are met, and keeps each one's ids in one flat array; it is emptied when it holds `limit` words."""
+class Numbered(dict):
+    """Numbers words in the order they are met; it is emptied when it holds `limit` words. fresh: those met since the last call of learn()."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -69,8 +69,6 @@ class WordStore(dict):
     def empty(self) -> None:
         self.clear()
         self.fresh: list = []
-        self.flat, self.starts, self.lengths = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
-        self.used = 0
 
     def __missing__(self, word):
         self[word] = n = len(self)
@@ -82,6 +80,15 @@ class WordStore(dict):
             self.empty()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+
+class WordStore(Numbered):
+    """Numbered words with each one's ids in one flat array."""
+
+    def empty(self) -> None:
+        super().empty()
+        self.flat, self.starts, self.lengths = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
+        self.used = 0
+
     def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """The ids of the fresh words, in their order."""
         at, to = len(self) - len(self.fresh), len(self)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id
 from .bpe import bpe_decode, bpe_encode
 from .chat_format import conversation_digests, format_turns
 from .common import settled, table
@@ -55,6 +56,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crf = language_id.learn(docs.where(~language_id.held_out()))
+    return language_id.identify(docs, crf).withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_planes": op7_token_planes,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_warc": op9_warc,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
