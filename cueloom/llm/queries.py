@@ -14,6 +14,7 @@ from .chat_format import conversation_digests, format_turns
 from .common import settled, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .secrets import scan_secrets
 from .token_planes import read_tokens, token_files
 from .toxicity import held_out, learn, toxicity
 from .warc import capture_histories
@@ -40,6 +41,10 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secrets": op6_secrets,
     "op7_token_planes": op7_token_planes,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_warc": op9_warc,
