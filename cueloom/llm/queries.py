@@ -14,6 +14,7 @@ from .chat_format import conversation_digests, format_turns
 from .common import settled, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .near_dedup import near_groups
 from .secrets import scan_secrets
 from .token_planes import read_tokens, token_files
 from .toxicity import held_out, learn, toxicity
@@ -26,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, lexicon).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
+    "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secrets": op6_secrets,
     "op7_token_planes": op7_token_planes,
