@@ -35,6 +35,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to this number are broadcast; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs, all columns, but for those whose doc_id is in ids (doc_id); rows with a null doc_id stay."""
+    ids = settled(ids.select(F.col("doc_id").alias("__gone")).distinct())
+    gone = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit words that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -60,15 +71,16 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class Numbered(dict):
-    """Numbers words in the order they are met; it is emptied when it holds `limit` words. fresh: those met since the last call of learn()."""
+    """Numbers words in the order they are met. fresh: those met since the last call of learn().
+
+    When `limit` words are held, those met once are forgotten and the others numbered anew (or all
+    are forgotten, if hardly any was met once).
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.empty()
-
-    def empty(self) -> None:
-        self.clear()
         self.fresh: list = []
+        self.met = np.zeros(1 << 16, np.int64)
 
     def __missing__(self, word):
         self[word] = n = len(self)
@@ -77,21 +89,44 @@ class Numbered(dict):
 
     def numbers(self, words: list) -> np.ndarray:
         if len(self) >= self.limit:
-            self.empty()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            often = np.flatnonzero(self.met[: len(self)] > 1)
+            often = often if len(often) < 0.7 * self.limit else often[:0]
+            names = list(self)
+            self.clear()
+            self.update((names[i], n) for n, i in enumerate(often.tolist()))
+            self.met = np.resize(self.met[often] // 2, len(self.met)) if len(often) else np.zeros(1 << 16, np.int64)
+            self.met[len(often) :] = 0
+            self.keep(often)
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.met) < len(self):
+            self.met = np.concatenate((self.met, np.zeros(2 * len(self) - len(self.met), np.int64)))
+        self.met[: len(self)] += np.bincount(out, minlength=len(self))
+        return out
+
+    def keep(self, often: np.ndarray) -> None:
+        """What is stored by number is now only for these old numbers, in this order."""
 
 
 class WordStore(Numbered):
     """Numbered words with each one's ids in one flat array."""
 
-    def empty(self) -> None:
-        super().empty()
+    def __init__(self, limit: int):
+        super().__init__(limit)
         self.flat, self.starts, self.lengths = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
         self.used = 0
 
+    def keep(self, often: np.ndarray) -> None:
+        ids, lengths = self.ids(often)
+        self.used = 0
+        self._put(0, ids, lengths)
+
     def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """The ids of the fresh words, in their order."""
-        at, to = len(self) - len(self.fresh), len(self)
+        self._put(len(self) - len(self.fresh), ids, lengths)
+        self.fresh = []
+
+    def _put(self, at: int, ids: np.ndarray, lengths: np.ndarray) -> None:
+        to = at + len(lengths)
         while len(self.starts) < to:
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while len(self.flat) < self.used + len(ids):
@@ -100,7 +135,6 @@ class WordStore(Numbered):
         self.lengths[at:to] = lengths
         self.starts[at:to] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.fresh = []
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words, and how many each has."""

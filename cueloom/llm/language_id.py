@@ -237,11 +237,22 @@ def identify(docs: DataFrame, crf: Crf, spans: bool = False) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA + SPANS * spans)
 
 
+class _Met(Numbered):
+    """Numbered words with the emissions of each in a row."""
+
+    def __init__(self, width: int):
+        super().__init__(CACHE_WORDS)
+        self.rows = np.empty((0, width), np.float32)
+
+    def keep(self, often: np.ndarray) -> None:
+        self.rows = self.rows[often]
+
+
 class Labeller:
     """A field with the emissions of the words it has met."""
 
     def __init__(self, crf: Crf):
-        self.crf, self.index, self.rows = crf, Numbered(CACHE_WORDS), np.empty((0, len(crf.languages)), np.float32)
+        self.crf, self.index = crf, _Met(len(crf.languages))
 
     def label(self, texts: list[str | None], spans: bool = False) -> tuple[list[str], list[float], list[int], list]:
         crf, index = self.crf, self.index
@@ -249,13 +260,13 @@ class Labeller:
         numbers = index.numbers([w for ws in words for w in ws])
         if index.fresh:
             old = len(index) - len(index.fresh)
-            if len(self.rows) < len(index):
-                self.rows = np.resize(self.rows, (2 * len(index), len(crf.languages)))
-            self.rows[old : len(index)] = crf.emissions(index.fresh)
+            if len(index.rows) < len(index):
+                index.rows = np.resize(index.rows, (2 * len(index), len(crf.languages)))
+            index.rows[old : len(index)] = crf.emissions(index.fresh)
             index.fresh = []
         n = np.fromiter(map(len, words), np.int64, len(words))
         some = n > 0
-        p = marginals(self.rows[numbers].astype(float), n[some], crf.moves, crf.first)
+        p = marginals(index.rows[numbers].astype(float), n[some], crf.moves, crf.first)
         lang, score, found = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         if crf.languages and len(p):
             ends = np.cumsum(n[some])

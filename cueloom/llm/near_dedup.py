@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, mix64, settled
+from .common import BROADCAST_IDS, GOLDEN, mix64, settled
 from .words import SPACED, Words, in_slices
 
 REGISTERS, BAND_ROWS = 128, 4
@@ -30,8 +30,6 @@ BASE = 1.1
 _OFFSET = math.ceil(4 / math.log(BASE))
 #: Twice the log likelihood ratio at which a pair is set aside: over six standard deviations.
 CUT = 40.0
-#: Ids up to this number are broadcast to pick out candidates' texts; more of them are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

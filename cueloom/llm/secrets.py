@@ -36,7 +36,9 @@ IDENTIFIERS, SECRETS = ("access", "ident"), ("assign", "hex", "blob")
 #: Code points between a weak candidate and its complement at most.
 SCOPE = 400
 
-_NO_SPANS = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+
+def _no_spans() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
 
 
 def spans(text: Column, kind: str) -> Column:
@@ -51,7 +53,7 @@ def spans(text: Column, kind: str) -> Column:
         pattern = pattern[:-1] + f"{{{least - fixed},}}"
     all_ = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), all_(0).alias("match"), all_(group).alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), _NO_SPANS.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), _no_spans().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["piece"])
@@ -60,7 +62,7 @@ def spans(text: Column, kind: str) -> Column:
         long_enough = F.coalesce(F.length(x["value"]) >= least, F.lit(False))
         return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step)["out"]).otherwise(_NO_SPANS)
+    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step)["out"]).otherwise(_no_spans())
 
 
 def _listed(array: Column) -> Column:
@@ -100,6 +102,6 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     linked = near(weak.where(kinds(["ident"])), SECRETS).unionByName(near(weak.where(kinds(["blob"])), IDENTIFIERS)).unionByName(near(near(weak.where(kinds(["endpoint"])), SECRETS), IDENTIFIERS))
     more = linked.groupBy(F.col("doc_id").alias("w_doc"), F.col("key").alias("w_key")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     all_ = found.join(more, found["doc_id"].eqNullSafe(more["w_doc"]) & (found["key"] == more["w_key"]), "left")
-    every = F.concat(base, F.coalesce("more", _NO_SPANS))
+    every = F.concat(base, F.coalesce("more", _no_spans()))
     count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     return all_.select("doc_id", *map(count, STRONG), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(every).alias("spans"), (F.size(every) - F.size(base)).cast("long").alias("n_weak"))

@@ -28,7 +28,7 @@ HEAD = struct.Struct("<4sBBHIQI")
 BLOCK_IDS = 1 << 14
 #: A file row is closed at the first document that takes it over this many ids.
 FILE_IDS = 1 << 18
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -81,7 +81,8 @@ class Encoder:
     """A tokenizer of the tokenizers library that encodes each distinct run of characters between ASCII white space once.
 
     That is exact for tokenizers whose words never hold or look across white space. New runs are
-    encoded together, with a special token's string between them, whose id marks where each ends.
+    encoded together, with a mark between them whose id tells where each ends: a control character
+    of one id that stands apart, or else a special token.
     """
 
     def __init__(self, path: str):
@@ -90,8 +91,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.mark_id, mark = max((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
-        self.mark = mark.encode()
+        ids = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        if len(ids) == 1 and self.tokenizer.encode("a \x01 a", add_special_tokens=False).ids.count(ids[0]) == 1:
+            self.mark_id, self.mark, self.between = ids[0], b"\x01", b" \x01 "
+        else:
+            self.mark_id, mark = max((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+            self.mark = self.between = mark.encode()
         self.store = WordStore(CACHE_WORDS)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +115,11 @@ class Encoder:
         return np.insert(ids, sums[1:], end_id).astype(np.uint32), np.diff(sums) + 1
 
     def _fresh(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        encode = lambda t: self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids
+        encode = lambda t: self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
         plain = [w for w in words if self.mark not in w]
         got = []
-        for at in range(0, len(plain), 512):
-            ids = np.array(encode(self.mark.join([*plain[at : at + 512], b""])), np.int32)
+        for at in range(0, len(plain), 64):
+            ids = np.array(encode(self.between.join([*plain[at : at + 64], b""])), np.int32)
             got += np.split(ids, np.flatnonzero(ids == self.mark_id) + 1)[:-1]
         rest = iter(got)
         out = [np.array(encode(w), np.int32) if self.mark in w else next(rest)[:-1] for w in words]
