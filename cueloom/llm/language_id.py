@@ -86,7 +86,7 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, fir
     steps that follow one another are few even where one sequence is very long.
     """
     n, k = emissions.shape
-    if not n:
+    if not n or not k:
         return emissions
     pieces = -(-lengths // SEGMENT)
     seq_first = np.cumsum(lengths) - lengths
