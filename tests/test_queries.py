@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import cueloom.plans.more_queries  # noqa: F401
 from cueloom.plans.queries import QUERIES, SQL
 
 from .conftest import SMALL
