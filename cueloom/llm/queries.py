@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, secrets
 from .bpe import bpe_decode, bpe_encode
 from .chat_format import conversation_digests, format_turns
 from .common import settled, table
@@ -85,7 +85,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+
+
+def _secrets_sql() -> str:
+    """Spans of each kind from the lengths of matches and of the pieces between them; then the weak kinds' complements."""
+    parts = []
+    for kind, (pattern, group, least) in (secrets.STRONG | secrets.WEAK).items():
+        p = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {secrets.KINDS.index(kind)} AS kind, a AS start, a + length(m[i]) AS "end" FROM (
+            SELECT doc_id, m, v, i, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM (
+                SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+                    SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, regexp_split_to_array(t, '{p}') AS s FROM d)))
+            WHERE length(v[i]) >= {least}""")
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM x a WHERE a.doc_id = w.doc_id AND a.kind IN ({', '.join(str(secrets.KINDS.index(k)) for k in kinds)}) AND w.start BETWEEN a.start - {secrets.SCOPE} AND a.\"end\" + {secrets.SCOPE})"
+    listed = """string_agg(['assign', 'access', 'hex', 'ident', 'blob', 'endpoint'][kind + 1] || ':' || CAST(start AS VARCHAR) || ':' || CAST("end" AS VARCHAR), ',' ORDER BY start, kind)"""
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        x AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+        ok AS (SELECT * FROM x w WHERE kind < 3 OR (
+            NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = w.doc_id AND b.kind < 3 AND b.start <= w.start AND b."end" >= w."end")
+            AND CASE kind WHEN 3 THEN {near(secrets.SECRETS)} WHEN 4 THEN {near(secrets.IDENTIFIERS)} ELSE {near(secrets.SECRETS)} AND {near(secrets.IDENTIFIERS)} END)),
+        g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {listed} FILTER (kind < 3) AS base, {listed} AS spans FROM ok GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
 SQL: dict[str, str] = {
+    "op6_secrets": _secrets_sql(),
     "op2_decontaminate": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -122,6 +148,22 @@ SQL: dict[str, str] = {
                CAST(sum(12 + length(role) + 1 + length(escaped) + 11) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op4_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(doc_id, comp) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.doc_id),
+        m AS (SELECT doc_id, min(comp) AS comp FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.comp, d.doc_id) AS component_id, d.doc_id = coalesce(m.comp, d.doc_id) AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
