@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from cueloom.functions.text import clock_ms
 
+#: Fixed value: a progress line.
 PROGRESS = r"PROGRESS\s+([\d.]+)%\s+of\s+([\d.]+\w+)"
 
 
@@ -66,6 +67,7 @@ def string_array(reply: Column) -> Column:
     return F.when(ok, F.from_json(body, "array<string>"))
 
 
+#: Fixed value: a chapter line of a reply.
 CHAPTER = r"^[-*]\s+\[?(\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?)(?:\s*[–\-—→~]\s*\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?)?\]?\s*[:：]?\s*(.+?)(?:\s+[—–-]\s+(.+))?$"
 
 
