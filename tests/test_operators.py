@@ -118,3 +118,10 @@ def test_batch_rollup_keeps_cancelled_jobs(spark):
     items = spark.createDataFrame([(1, "completed"), (1, "canceled"), (2, "failed"), (3, "completed"), (4, "queued")], "batch_id long, status string")
     stopped = spark.createDataFrame([(4,)], "batch_id long")
     assert {r.batch_id: r.status for r in queue.batch_rollup(items, stopped).collect()} == {1: "running", 2: "failed", 3: "completed", 4: "canceled"}
+
+
+def test_highlight(spark):
+    from cueloom.plans import state
+
+    got = state.highlight(spark.createDataFrame([("k", "The other THEME"), ("n", None), ("e", "")], "key string, text string"), "key", "text", "the").orderBy("key", "pos").collect()
+    assert [(r.key, r.t, r.is_match) for r in got] == [("k", "The", True), ("k", " o", False), ("k", "the", True), ("k", "r ", False), ("k", "THE", True), ("k", "ME", False)]

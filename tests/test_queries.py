@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import cueloom.plans.more_queries  # noqa: F401
+import cueloom.plans.state_queries  # noqa: F401
 from cueloom.plans.queries import QUERIES, SQL
 
 from .conftest import SMALL
