@@ -28,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cueloom-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: a short lineage that outlives executors."""
+def settled(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df, written as Parquet (by `parts` tasks at most) to the shared folder and read again: a short lineage that outlives executors."""
     path = shared_dir(df.sparkSession)
+    df = df.coalesce(parts) if parts else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

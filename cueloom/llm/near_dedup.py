@@ -1,14 +1,15 @@
 """Near-duplicate groups: SetSketch registers, banding, joint likelihood, exact verification, components.
 
 A shingle sends arrivals of a Poisson process to random registers, so its values are exponentially
-spaced and each register keeps the least of them, truncated to a byte on a logarithmic scale. Sketches
+spaced and each register keeps the least of them, truncated to 16 bits on a logarithmic scale. Sketches
 of parts merge by taking minima, and equal registers mean similar sets. Bands of registers propose
 candidates, the joint likelihood of two sketches sets aside pairs that can't be similar enough, and
 full sets decide. Texts with equal sets are one class from the start; a class has one representative.
 
-In a bucket of a band each member is first compared with the bucket's pivot alone. Buckets that still
-hold several components are then joined with themselves across components, under a bound on the
-overlap that exact counts give, so that no link between components is lost.
+In a bucket of a band each member is first compared with the bucket's pivot alone, then, where its
+component is another, with the bucket's member of most links. Buckets that still hold several
+components are joined with themselves across components, under a bound on the overlap that exact
+counts give, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +26,20 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, GOLDEN, mix64, settled
 from .words import SPACED, Words, in_slices
 
-REGISTERS, BAND_ROWS = 128, 4
-BASE = 1.1
+REGISTERS = 240
+#: The most likely that bands miss a pair at the threshold; it sets how many registers a band has.
+MISS = 1e-8
+BASE = 1.0005
 _OFFSET = math.ceil(4 / math.log(BASE))
 #: Twice the log likelihood ratio at which a pair is set aside: over six standard deviations.
 CUT = 40.0
 
 
+def band_rows(threshold: float, m: int = REGISTERS) -> int:
+    """The most registers in a band with which the m // rows bands miss a pair at the threshold with probability MISS at most."""
+    return max(r for r in range(1, 17) if r == 1 or (1 - threshold**r) ** (m // r) <= MISS)
+
+
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each text's runs of k words, sorted, one text after another, and how many each text has.
 
@@ -74,9 +82,9 @@ def minima(h: np.ndarray, counts: np.ndarray, m: int = REGISTERS) -> np.ndarray:
 
 
 def truncated(low: np.ndarray) -> np.ndarray:
-    """Registers of a byte: the least arrival on a scale of powers of BASE."""
+    """Registers of 16 bits: the least arrival on a scale of powers of BASE."""
     with np.errstate(divide="ignore"):
-        return np.clip(np.floor(-np.log(low) / math.log(BASE)) + _OFFSET, 0, 255).astype(np.uint8)
+        return np.clip(np.floor(-np.log(low) / math.log(BASE)) + _OFFSET, 0, 65535).astype("<u2")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, at: float) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +149,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
         for b in batches:
             for at in range(0, len(b), 2048):
                 part = b.slice(at, 2048)
-                regs = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(len(part), -1) for c in (3, 5)]
+                regs = [np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(len(part), -1) for c in (3, 5)]
                 j, ok = similarity(*regs, part.column(2).to_numpy().astype(float), part.column(4).to_numpy().astype(float), num / den)
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(j).filter(keep)], names=["a", "b", "j"])
@@ -168,19 +176,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def components(links: DataFrame) -> DataFrame:
     """id, comp (the least id that is reachable) of every id in links (a, b), by large and small stars in turn."""
-    edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    size = lambda n: max(8, n // 200_000)
+    edges, before = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), 64), None
     while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = settled(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        edges = settled(small, size(now[0]))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
@@ -191,8 +199,20 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
 
-def _unshared(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and alone: how many of its shingles are in no other set of ids."""
+def _open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """bucket, id, comp of the buckets whose members are in several components."""
+    placed = settled(members.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return settled(placed.join(several, "bucket", "left_semi"))
+
+
+def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ids (id, comp, n) in different components that may be similar enough: a superset of those that are.
+
+    With shingles in one order, rarest first, two sets that are similar enough share one among the
+    first n - ceil(num * n / den) + 1 of each; and where they first meet, what is left of both
+    bounds what they can share. Shingles of one set alone come first and meet nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,11 +220,20 @@ def _unshared(sets: DataFrame, ids: DataFrame) -> DataFrame:
                 h = np.frombuffer(s.as_buffer(), "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], names=["id", "h"])
 
-    each = sets.join(ids, "id", "left_semi").mapInArrow(run, "id long, h long")
-    return each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    each = sets.join(ids.select("id"), "id", "left_semi").mapInArrow(run, "id long, h long")
+    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    per = each.join(often, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")).join(ids, "id")
+    alone = F.col("n") - F.size("shared")
+    first = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - alone
+    rare = per.where(first > 0).select("id", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, first.cast("int"))).alias("i", "s"))
+    rare = settled(rare.select("id", "comp", "n", F.col("s.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i")).alias("left")))
+    one, two = (rare.select(*(F.col(c).alias(c if c == "h" else f"{c}_{x}") for c in rare.columns)) for x in "ab")
+    most = F.least("left_a", "left_b")
+    both = one.join(two, "h").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") > F.col("id_b")) & (den * most >= num * (F.col("n_a") + F.col("n_b") - most)))
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m: int = REGISTERS, rows: int = BAND_ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m: int = REGISTERS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that links reach), kept (doc_id = component_id).
 
     Documents are linked whose sets of k-word shingles have den * intersection >= num * union. Words
@@ -216,33 +245,39 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m: int
     all_ = settled(sketches(docs, k, m))
     named = all_.where("doc_id is not null and n > 0")
     reps = settled(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(m // rows - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * rows + 1, F.lit(rows))))
+    rows = band_rows(num / den, m)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(m // rows - 1)), lambda i: F.xxhash64(i, F.substring("regs", 2 * rows * i + 1, F.lit(2 * rows))))
     banded = reps.select("id", F.explode(bands).alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket"), "id"))["id"].alias("pivot"), F.count("*").alias("size")).where("size > 1").select("bucket", "pivot")
     members = settled(banded.join(pivots, "bucket"))
-    in_buckets = members.select("id").distinct()
-    sets = _sets(docs, settled(in_buckets.join(reps.select("id", "digest"), "id")), k)
+    sets = _sets(docs, settled(members.select("id").distinct().join(reps.select("id", "digest"), "id")), k)
 
-    pairs = members.where("id <> pivot").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-    pairs = settled(_plausible(pairs, reps, num, den))
+    # with the pivot of each bucket: first each text's likeliest one, then the others that this hasn't brought together
+    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    pairs = settled(_plausible(members.where("id <> pivot").select(*ordered("id", "pivot")).distinct(), reps, num, den))
     first = pairs.groupBy("a").agg(F.max_by("b", F.struct("j", -F.col("b"))).alias("b"))
     links = _verified(first, sets, num, den)
-    comp = components(links)
-    links = links.unionByName(_verified(_across(pairs.join(first, ["a", "b"], "left_anti"), comp), sets, num, den))
+    star = links.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    links = links.unionByName(_verified(_across(pairs.join(first, ["a", "b"], "left_anti"), star), sets, num, den))
     comp = components(links)
 
-    placed = members.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rest = settled(placed.join(open_, "bucket", "left_semi"))
-    ids = rest.select("id").distinct()
-    bound = ids.join(reps.select("id", "n"), "id").join(_unshared(sets, ids), "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    # a set that shares too little with all others has no link
-    rest = settled(rest.join(bound.where(den * F.col("shared") >= num * F.col("n")), "id"))
-    one, two = (rest.select(*(F.col(c).alias(c if c == "bucket" else f"{c}_{x}") for c in rest.columns)) for x in "ab")
-    most = F.least("shared_a", "shared_b")
-    crossing = one.join(two, "bucket").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") > F.col("id_b")) & (den * most >= num * (F.col("n_a") + F.col("n_b") - most)))
-    late = _plausible(crossing.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), reps, num, den)
-    comp = components(links.unionByName(_verified(late, sets, num, den)))
+    # with the member of most links in each bucket that still has several components
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    open_ = _open_buckets(members, comp)
+    hubs = open_.join(degree, "id", "left").groupBy("bucket").agg(F.max_by(F.struct("id", "comp"), F.struct(F.coalesce("links", F.lit(0)), -F.col("id"))).alias("hub"))
+    to_hub = open_.join(hubs, "bucket").where(F.col("comp") != F.col("hub.comp")).select(*ordered("id", F.col("hub.id"))).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = _verified(_plausible(to_hub, reps, num, den), sets, num, den)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        comp = components(links)
+
+    # all others across components, by the rarest shingles that similar sets must share
+    open_ = _open_buckets(members.where("id <> pivot"), comp)
+    ids = settled(open_.select("id", "comp").distinct().join(reps.select("id", "n"), "id"), 64)
+    late = _plausible(_crossing(sets, ids, num, den).join(pairs, ["a", "b"], "left_anti"), reps, num, den)
+    found = _verified(late, sets, num, den)
+    if not found.isEmpty():
+        comp = components(links.unionByName(found))
 
     groups = reps.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
     named = all_.where("doc_id is not null and n > 0").select("doc_id", "n", "digest").join(groups, "digest")
