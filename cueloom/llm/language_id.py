@@ -157,7 +157,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
     """A field fitted to (text, language) pairs by the likelihood of whole label sequences."""
     languages = sorted({lang for _, lang in texts})
     k = len(languages)
-    crf = Crf(languages, np.zeros((1 << FEATURE_BITS, k)), np.zeros((k, k)), np.zeros(k))
+    crf = Crf(languages, np.zeros((1 << FEATURE_BITS, k), np.float32), np.zeros((k, k)), np.zeros(k))
     words, x, y = _sequences([(t, languages.index(lang)) for t, lang in texts], np.random.default_rng(seed))
     if k < 2 or not len(x):
         return crf
