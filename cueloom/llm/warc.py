@@ -9,6 +9,7 @@ merges the runs of each range into globally ordered capture histories.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -98,7 +99,7 @@ def first_captures(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_warc(captures: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Archives of captures (page_id, url, html, refers_to) below path; each file is sorted by URL key, timestamp and page."""
+    """Gzipped archives of captures (page_id, url, html, refers_to) below path; each file is sorted by URL key, timestamp and page."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,7 +112,7 @@ def write_warc(captures: DataFrame, path: str, file_records: int = FILE_RECORDS)
 
     rows = captures.select("page_id", "url", "html", "refers_to").mapInArrow(build, "key string, ts string, page_id long, value string")
     runs = rows.sortWithinPartitions("key", "ts", "page_id").select("value")
-    runs.write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+    runs.write.option("lineSep", END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 INDEX = "url_key string, ts string, page_id long, run string, seq long, offset long, length long, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -120,14 +121,16 @@ INDEX = "url_key string, ts string, page_id long, run string, seq long, offset l
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """An index row for each record of the archives below path, read whole: url_key, ts, page_id, run (its file), seq (its place there), offset, length, record_type, refers_to, payload_bytes, payload_digest.
 
-    A response's length and digest come from its payload, a revisit's from its headers.
+    A response's length and digest come from its payload, a revisit's from its headers. Archives
+    may be gzipped; offsets and lengths are those in the unpacked file.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for run, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 out = []
-                for seq, (offset, length, h, block) in enumerate(parse(data.as_py())):
+                raw = data.as_py()
+                for seq, (offset, length, h, block) in enumerate(parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     if h["warc-type"] == "revisit":
                         size, digest = int(re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)[1]), h["warc-payload-digest"].removeprefix("sha1:")
