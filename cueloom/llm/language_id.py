@@ -287,7 +287,7 @@ def held_out(col: str = "doc_id"):
 
 
 #: Where a document's commonest language has less than this share of its words, it is none's.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def known_language(docs: DataFrame, crf: Crf, least: float = LEAST_SHARE) -> DataFrame:
