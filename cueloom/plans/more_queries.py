@@ -17,6 +17,11 @@ def _reply(texts: list[str]) -> list[str] | None:
     return None if len(texts) > 1 and any("x" in t for t in texts) else [t.upper() for t in texts]
 
 
+def _marked(texts: list[str]) -> list[str] | None:
+    """_reply's counts with a mark before each text in place of upper case."""
+    return None if _reply(texts) is None else [f"r:{t}" for t in texts]
+
+
 @query("""SELECT event_id, least(1.0, (event_id % 130) / 100) AS percent, CAST(floor((event_id % 50 + 0.5) * 1048576 + 0.5) AS BIGINT) AS bytes_total,
     CAST(floor(floor((event_id % 50 + 0.5) * 1048576 + 0.5) * least(1.0, (event_id % 130) / 100) + 0.5) AS BIGINT) AS bytes_done,
     CASE WHEN event_id % 3 <> 0 THEN '1.5MiB/s' END AS speed, CASE WHEN event_id % 3 <> 0 THEN CAST(60 * (event_id % 7) + event_id % 60 AS DOUBLE) END AS eta FROM events""")
@@ -97,6 +102,12 @@ def model_ladder(spark, d):
     return transcripts.complete_batches(c, _reply)
 
 
+@query("SELECT media, cue_idx, text, 'r:' || text AS reply FROM {cues}")
+def model_ladder_all(spark, d):
+    """model_ladder over every cue: the reply is one that Python and DuckDB compute alike, so no text is left out and batches are of all cues."""
+    return transcripts.complete_batches(adapters.cues(spark, d), _marked)
+
+
 @query("""SELECT media, cue_idx, 'cue-' || lpad(CAST(row_number() OVER (PARTITION BY media ORDER BY cue_idx) AS VARCHAR), 5, '0') AS source_id, left(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 240) AS snippet FROM {cues}""")
 def source_map(spark, d):
     return transcripts.sources(adapters.cues(spark, d))
