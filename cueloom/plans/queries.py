@@ -178,6 +178,15 @@ def upsert_merge(spark, d):
     return out.withColumn("priority", F.coalesce("priority", F.lit(0)))
 
 
+@query("""SELECT coalesce(a.id, b.id) AS id, coalesce(b.status, a.status) AS status, coalesce(b.model, a.model) AS model, coalesce(a.priority, 0) AS priority FROM {tasks} a
+    FULL JOIN (SELECT CASE status WHEN 'failed' THEN id ELSE -1 - id END AS id, 'queued' AS status, model FROM {tasks} WHERE status = 'failed' OR (status = 'completed' AND kind = 'transcribe')) b ON a.id = b.id""")
+def upsert_merge_all(spark, d):
+    """upsert_merge into all tasks: failed ones are queued again, and each finished transcript puts in a task that follows it (id -1 - id)."""
+    t = adapters.tasks(spark, d).select("id", "kind", "status", "model", "priority")
+    rows = t.where("status = 'failed' or (status = 'completed' and kind = 'transcribe')").select(F.when(F.col("status") == "failed", F.col("id")).otherwise(-1 - F.col("id")).alias("id"), F.lit("queued").alias("status"), "model")
+    return queue.upsert(t.drop("kind"), rows, ["id"]).withColumn("priority", F.coalesce("priority", F.lit(0)))
+
+
 @query("""SELECT id, CASE status WHEN 'running' THEN 'queued' ELSE status END AS web, CASE WHEN status IN ('queued', 'running') THEN 'failed' ELSE status END AS desktop FROM {tasks}""")
 def recover_states(spark, d):
     t = adapters.tasks(spark, d)

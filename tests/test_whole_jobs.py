@@ -1,6 +1,7 @@
 """Registered jobs reach every row of their tables."""
 
 import cueloom.plans.more_queries  # noqa: F401
+import cueloom.plans.state_queries  # noqa: F401
 from cueloom.plans.queries import QUERIES
 from cueloom.sources import adapters
 
@@ -12,3 +13,13 @@ def test_ladder_replies_to_every_cue(spark):
     assert any("ß" in t for t in cues.values())
     got = QUERIES["model_ladder_all"](spark, SMALL).collect()
     assert len(got) == len(cues) and {(r.media, r.cue_idx): r.reply for r in got} == {k: f"r:{t}" for k, t in cues.items()}
+
+
+def test_batch_and_upsert_take_all_tasks(spark):
+    tasks = adapters.tasks(spark, SMALL).collect()
+    done = {(t.video_sha, t.kind) for t in tasks if t.status == "completed"}
+    want = {m: ",".join(k for k in ("insight", "transcribe", "translate") if (m, k) not in done) for m in {t.video_sha for t in tasks}}
+    assert {r.sha256: r.steps for r in QUERIES["batch_creation_all"](spark, SMALL).collect()} == {m: s for m, s in want.items() if s}
+    got = {r.id: r.status for r in QUERIES["upsert_merge_all"](spark, SMALL).collect()}
+    assert {t.id for t in tasks} == {i for i in got if i >= 0} and min(got) < 0
+    assert all(got[t.id] == ("queued" if t.status == "failed" else t.status) for t in tasks)
