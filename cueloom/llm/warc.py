@@ -45,6 +45,11 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in ("80", "443") else "") + ")" + (rest or "/")
 
 
+def target_uri(url: str) -> str:
+    """url as records hold it: ASCII, with what a URL can't have escaped. Keys are made from it on both sides, so that runs are in the order of the merge."""
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~-._")
+
+
 def stamp(page_id: int | None) -> str:
     return (FIRST_DATE + timedelta(seconds=(page_id or 0) % _SPAN_SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -53,7 +58,7 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None)
     """A record without its closing blank lines. A revisit has the HTTP header alone, with the payload's length in it."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = [f"WARC/1.1\r\nWARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {stamp(page_id)}", f"WARC-Target-URI: {quote(url, safe="!#$%&'()*+,/:;=?@[]~-._")}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
+    head = [f"WARC/1.1\r\nWARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {stamp(page_id)}", f"WARC-Target-URI: {target_uri(url)}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join([*head, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]).encode() + block
@@ -106,7 +111,7 @@ def write_warc(captures: DataFrame, path: str, file_records: int = FILE_RECORDS)
             for at, to in slices(b.column(2)):
                 rows = list(zip(*(c.to_pylist() for c in b.slice(at, to - at).columns), strict=True))
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([url_key(r[1]) for r in rows], pa.string()), "ts": pa.array([stamp(r[0]) for r in rows], pa.string()), "page_id": pa.array([r[0] for r in rows], pa.int64()),
+                    "key": pa.array([url_key(target_uri(r[1])) for r in rows], pa.string()), "ts": pa.array([stamp(r[0]) for r in rows], pa.string()), "page_id": pa.array([r[0] for r in rows], pa.int64()),
                     "value": pa.array([record(r[0], r[1], r[2].encode(), r[3]).decode() for r in rows], pa.string()),
                 })
 

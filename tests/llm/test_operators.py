@@ -367,6 +367,19 @@ def test_warc(spark, duck):
     assert {r.page_id for r in QUERIES["op9_warc"](spark, SMALL).collect()} == {r[0] for r in rows if r[0] is not None and r[0] < 90_000}
 
 
+def test_warc_order_of_urls_with_escapes(spark):
+    urls = ["http://x/z", "http://x/é", "http://x/a b", "http://x/a!b", "http://x/{y}", "http://x/b", "http://ö.x/", "http://p.x/", None]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    path = warc.shared_dir(spark)
+    warc.write_warc(warc.first_captures(pages).coalesce(1), path)
+    runs: dict = {}
+    for r in warc.read_warc(spark, path).orderBy("run", "seq").collect():
+        runs.setdefault(r.run, []).append((r.url_key, r.ts, r.page_id))
+    assert all(r == sorted(r) for r in runs.values()) and sum(map(len, runs.values())) == len(urls)
+    keys = [(r.url_key, r.ts, r.page_id) for r in warc.capture_histories(pages).collect()]
+    assert keys == sorted(keys) and len(keys) == len(urls)
+
+
 # ---- language
 
 
