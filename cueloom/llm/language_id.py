@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -22,6 +22,8 @@ from .common import Numbered, crc_bucket, mix64
 
 #: Bounds of the training sample: documents of each language (by a hash of their ids), and the characters of the longest one taken.
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 40_000
+#: The most texts of all languages together: where there are many, each teaches by fewer, but by one at least.
+SAMPLE_TOTAL = 16_000
 #: Words of a training sequence, and the share of sequences that switch languages.
 SEQUENCE, SWITCHED = 48, 0.5
 STEPS = 25
@@ -199,13 +201,18 @@ def _pairs(q: np.ndarray, e: np.ndarray, crf: Crf) -> np.ndarray:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Crf:
     """A field fitted to whole texts of at most sample_docs documents of each language, none over sample_chars characters.
 
-    Rows with null text or language teach nothing; at most 64 languages, the commonest, are learned.
+    Rows with null text or language teach nothing. Every language is learned: where there are more than
+    SAMPLE_TOTAL / sample_docs of them, each by an equal share of SAMPLE_TOTAL, and by one text at least.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null").where(F.length("text") <= sample_chars)
-    texts = []
-    for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect():
-        ids = rows.where(F.col("lang") == r["lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(sample_docs)  # at most sample_docs rows
-        texts += [(x["text"], x["lang"]) for x in rows.where(F.col("lang") == r["lang"]).join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect()]
+    languages = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    each = max(1, min(sample_docs, SAMPLE_TOTAL // max(1, len(languages))))
+    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = rows.select("lang", "doc_id").withColumn("at", at).where(F.col("at") <= each).select("lang", "doc_id").distinct()  # at most `each` rows a language
+    taken = rows.join(F.broadcast(ids), rows["lang"].eqNullSafe(ids["lang"]) & rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    place = {lang: i for i, lang in enumerate(languages)}
+    texts = [(r["text"], r["lang"]) for r in sorted(taken.withColumn("at", at).where(F.col("at") <= each).select("lang", "text", "at").collect(), key=lambda r: (place[r["lang"]], r["at"]))]
     return fit(texts)
 
 

@@ -423,3 +423,15 @@ def test_language_held_out_and_code_switching(spark):
     assert language_id.known_language(odd, crf).columns == odd.columns
     none = language_id.learn(odd.limit(0))
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 1)
+    monkeypatch.setattr(language_id, "FEATURE_BITS", 12)
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} text", f"l{i % 70:02}") for i in range(210)], "doc_id long, text string, lang string")
+    taken: list = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, fit=language_id.fit: taken.append(texts) or fit(texts))
+    assert language_id.learn(docs, sample_docs=2).languages == [f"l{i:02}" for i in range(70)]
+    monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 100)
+    language_id.learn(docs, sample_docs=2)
+    assert list(map(len, taken)) == [140, 70]
