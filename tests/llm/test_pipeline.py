@@ -1,9 +1,12 @@
 """The pipeline's stages, each against a brute-force version on what the one before it kept."""
 
+import random
+
 import duckdb
 import pytest
 
 import corpus_pipeline
+from cueloom.llm import language_id
 from cueloom.llm.common import settled
 
 from ..conftest import SMALL
@@ -72,3 +75,16 @@ def test_encode(kept):
     docs = rows(kept["decontaminate"])
     for r in kept["bpe"].collect():
         assert list(r.ids) == t.encode(docs[r.doc_id].text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
+def test_language_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem"
+    # a few words of each learned language, in even shares
+    each = [" ".join(r.text.split()[:15]) for lang in ("de", "en", "es", "fr") for r in docs.where(f"lang = '{lang}' and length(text) > 200").orderBy("doc_id").limit(1).collect()]
+    planted = spark.createDataFrame([(1, noise), (2, finnish), (3, polish), (4, " ".join(each))], "doc_id long, text string")
+    crf = language_id.learn(docs)
+    assert [r.doc_id for r in language_id.known_language(planted, crf).collect()] == [4]
