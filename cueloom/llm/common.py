@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +38,20 @@ def settled(df: DataFrame, parts: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Ids up to this number are broadcast; more of them are joined by a shuffle.
+#: Ids up to this number are broadcast (a quarter of it with a digest each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs, all columns, but for those whose doc_id is in ids (doc_id); rows with a null doc_id stay."""
-    ids = settled(ids.select(F.col("doc_id").alias("__gone")).distinct())
-    gone = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def among(docs: DataFrame, rows: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """docs, all columns, whose keys are (left_semi) or aren't (left_anti) those of one of rows; null equals null."""
+    few = settled(rows.select(*(F.col(k).alias(f"__of_{k}") for k in keys)).distinct())
+    side = F.broadcast(few) if few.count() <= BROADCAST_IDS // len(keys) ** 2 else few
+    return docs.join(side, reduce(and_, (docs[k].eqNullSafe(side[f"__of_{k}"]) for k in keys)), how)
+
+
+def without(docs: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """docs, all columns, but for those whose keys are in rows."""
+    return among(docs, rows, keys, "left_anti")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -20,10 +20,13 @@ from .common import settled
 HEAVY_K = 512
 
 
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(bare.cast("binary"), 256).alias("digest"), F.length(text).cast("long").alias("n_chars"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.length(text).cast("long").alias("n_chars"))
 
 
 def misra_gries(counts: dict, batch: dict, k: int) -> dict:

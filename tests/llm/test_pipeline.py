@@ -88,3 +88,17 @@ def test_language_rejects_what_was_not_learned(spark):
     planted = spark.createDataFrame([(1, noise), (2, finnish), (3, polish), (4, " ".join(each))], "doc_id long, text string")
     crf = language_id.learn(docs)
     assert [r.doc_id for r in language_id.known_language(planted, crf).collect()] == [4]
+
+
+def test_removal_where_ids_repeat(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    near = long.replace("word59", "other")
+    rows = [(1, "a copy"), (2, "a copy"), (2, "a text of its own"), (3, "written twice"), (3, "written  twice"), (3, "written  twice"), (None, "a copy"), (None, "no id"), (None, "no id"), (4, long), (5, near), (5, "another of its own"), (None, f"{long} end")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    exact = settled(corpus_pipeline.drop_exact_copies(spark, docs, SMALL))
+    key = lambda r: (r[0] or 0, r[1])
+    want = [(1, "a copy"), (2, "a text of its own"), (3, "written  twice"), (None, "no id"), (4, long), (5, near), (5, "another of its own"), (None, f"{long} end")]
+    assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=key) == sorted(want, key=key)
+    kept = corpus_pipeline.drop_near_copies(spark, exact, SMALL).collect()
+    want = [(1, "a copy"), (2, "a text of its own"), (3, "written  twice"), (None, "no id"), (4, long), (5, "another of its own")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted(want, key=key)
