@@ -400,6 +400,31 @@ def chapter_snap(spark, d):
     return intervals.snap_chapters(chapters, adapters.cues(spark, d))
 
 
+# the same three over points on the whole timeline of each media
+_ALL_POINTS = "(SELECT media, i AS pos, i * 7777 AS at_ms FROM (SELECT media, unnest(range(0, CAST(max(end_ms) // 7777 + 1 AS BIGINT))) AS i FROM {cues} GROUP BY media))"
+
+
+def _all_points(spark, d):
+    last = adapters.cues(spark, d).groupBy("media").agg(F.max("end_ms").alias("last_end"))
+    return last.select("media", F.explode(F.expr("sequence(0L, last_end, 7777L)")).alias("at_ms")).select("media", F.expr("at_ms div 7777").alias("pos"), "at_ms")
+
+
+@query(SQL["active_cue"].replace(_POINTS.replace("{cues}", adapters.SQL["cues"]), _ALL_POINTS))
+def active_cue_all(spark, d):
+    return intervals.active_cue(_all_points(spark, d), adapters.cues(spark, d))
+
+
+@query(SQL["nearest_source"].replace(_POINTS.replace("{cues}", adapters.SQL["cues"]), _ALL_POINTS))
+def nearest_source_all(spark, d):
+    return intervals.nearest_cue(_all_points(spark, d), adapters.cues(spark, d))
+
+
+@query(SQL["chapter_snap"].replace(_POINTS.replace("{cues}", adapters.SQL["cues"]), _ALL_POINTS))
+def chapter_snap_all(spark, d):
+    chapters = _all_points(spark, d).select("media", "pos", F.col("at_ms").alias("start_ms"), F.concat(F.lit("chapter "), F.col("pos").cast("string")).alias("title"))
+    return intervals.snap_chapters(chapters, adapters.cues(spark, d))
+
+
 @query("""SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2""")
 def centroids(spark, d):
     c = speakers.mean_vectors(table(spark, d, "embeddings"), "label", "embedding")

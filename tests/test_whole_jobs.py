@@ -23,3 +23,13 @@ def test_batch_and_upsert_take_all_tasks(spark):
     got = {r.id: r.status for r in QUERIES["upsert_merge_all"](spark, SMALL).collect()}
     assert {t.id for t in tasks} == {i for i in got if i >= 0} and min(got) < 0
     assert all(got[t.id] == ("queued" if t.status == "failed" else t.status) for t in tasks)
+
+
+def test_points_reach_the_end_of_each_timeline(spark):
+    last: dict = {}
+    for c in adapters.cues(spark, SMALL).collect():
+        last[c.media] = max(last.get(c.media, 0), c.end_ms)
+    want = {(m, i) for m, e in last.items() for i in range(e // 7777 + 1)}
+    assert max(last.values()) > 12 * 7777
+    assert {(r.media, r.pos) for r in QUERIES["active_cue_all"](spark, SMALL).collect()} == want
+    assert {(r.media, r.pos) for r in QUERIES["nearest_source_all"](spark, SMALL).collect()} == want
