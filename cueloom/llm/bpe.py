@@ -19,15 +19,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordStore, gather
+from .common import WordStore, gather, text_pieces
 
 #: The split pattern of the vocabulary's byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a task remembers; all are forgotten when there are more.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Words are put in matrices by their length in bytes; longer ones are joined by a heap, so that a long word costs n log n.
 WIDTHS = (0, 1, 2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 96, 192)
 NO_RANK = 1 << 60
+#: Characters, or ids, of a text that are worked on together.
+PIECE = 1 << 20
+#: A lone space between other characters begins a word of the pattern, whatever is around it, and no special token holds one.
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_chars() -> dict[str, int]:
@@ -177,6 +181,12 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
+        if len(texts) == 1 and len(texts[0]) > PIECE and not any(" " in s for s in self.special):
+            ids = np.concatenate([self._encode([x])[0] for x in text_pieces(texts[0], _CUT, PIECE)])
+            return ids, np.array([len(ids)])
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words: list[str] = []
         ends = []
         for text in texts:
@@ -203,12 +213,16 @@ class Bpe:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of runs of ids. Bytes that aren't UTF-8 become U+FFFD; ids outside the vocabulary are skipped."""
-        ids = ids.astype(np.int64)
-        known = (ids >= 0) & (ids < self.size)
-        ids, lengths = np.where(known, ids, 0), np.where(known, self.token_len[np.where(known, ids, 0)], 0)
-        raw = gather(self.token_bytes, self.token_at[ids], lengths).tobytes()
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+        raw, n = [], np.zeros(len(ids) + 1, np.int64)
+        for at in range(0, len(ids), PIECE):
+            part = ids[at : at + PIECE].astype(np.int64)
+            known = (part >= 0) & (part < self.size)
+            part = np.where(known, part, 0)
+            lengths = np.where(known, self.token_len[part], 0)
+            raw.append(gather(self.token_bytes, self.token_at[part], lengths).tobytes())
+            n[at + 1 : at + 1 + len(part)] = lengths
+        whole, ends = b"".join(raw), np.cumsum(n)[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -21,13 +24,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the cluster names none (a local session, as in tests) one is made.
+    A local session (one machine, as in tests) that names none gets one folder of its own; any other
+    is told to name one, as a machine's own folder wouldn't be seen by its executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/cueloom-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        root = context.getCheckpointDir()
+    path = f"{root.rstrip('/')}/cueloom-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Paths given out by shared_dir() that clearing() or clear() hasn't deleted.
+_made: list[str] = []
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that settled() has written, once no DataFrame that reads them is in use any more."""
+    context = spark.sparkContext
+    for path in [p for p in _made[since:] if p not in keep]:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what settled() and shared_dir() made inside, but for the last table: the result, settled."""
+    since = len(_made)
+    yield _made
+    clear(spark, since, tuple(_made[-1:]))
 
 
 def settled(df: DataFrame, parts: int | None = None) -> DataFrame:
@@ -38,18 +68,63 @@ def settled(df: DataFrame, parts: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key counts as frequent from this number of rows, and from this share of all rows, so that frequent keys are few (SHARE at most).
+HOT_ROWS, HOT_SHARE = 64, 20_000
+
+
+def frequent_keys(rows: DataFrame, *keys: str, n: int | None = None, size: str | None = None) -> DataFrame | None:
+    """__key, __salts of the values of these columns in more than a HOT_SHARE-th of n rows (of all, if n isn't given), and over how many salts each is to be dealt; None if there is none.
+
+    With `size` rows has a row for each key and that column says how many it stands for. Keys are
+    counted by partial sums on the map side. len(keys) * HOT_SHARE rows at most, which are broadcast.
+    """
+    bound = max(HOT_ROWS, (rows.count() if n is None else n) // HOT_SHARE)
+    many = F.sum(size) if size else F.count("*")
+    key = F.explode(F.array(*keys)) if len(keys) > 1 else F.col(keys[0])
+    hot = rows.select(key.alias("__key"), *filter(None, [size])).groupBy("__key").agg(many.alias("__n")).where(F.col("__n") > bound)
+    found = hot.select("__key", F.ceil(F.col("__n") / bound).cast("int").alias("__salts"))
+    some = found.collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(some, found.schema)) if some else None
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """many joined with one (a row for each key at most), where no frequent key's rows lie in one task.
+
+    hot (frequent_keys() of many or of a table that it is a part of): rows of these keys are dealt
+    over several tasks by a salt, and one's rows for them are repeated for each.
+    """
+    if hot is None:
+        return many.join(one, key, how)
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
+    of = lambda side: side.join(hot, side[key] == hot["__key"], "left")
+    left = of(many).withColumn("__salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("__key", "__salts")
+    right = of(one).withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__key", "__salts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 #: Ids up to this number are broadcast (a quarter of it with a digest each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def among(docs: DataFrame, rows: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """docs, all columns, whose keys are (left_semi) or aren't (left_anti) those of one of rows; null equals null."""
-    few = settled(rows.select(*(F.col(k).alias(f"__of_{k}") for k in keys)).distinct())
+def free_name(names: list[str], name: str) -> str:
+    """name, with as many underscores before it as it takes to be none of names."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def among(docs: DataFrame, rows: DataFrame, keys: dict[str, str], how: str) -> DataFrame:
+    """docs, all columns, whose keys are (left_semi) or aren't (left_anti) those of one of rows; null equals null.
+
+    keys: names of columns of rows by those of docs.
+    """
+    few = settled(rows.select(*(F.col(r).alias(f"key{i}") for i, r in enumerate(keys.values()))).distinct())
     side = F.broadcast(few) if few.count() <= BROADCAST_IDS // len(keys) ** 2 else few
-    return docs.join(side, reduce(and_, (docs[k].eqNullSafe(side[f"__of_{k}"]) for k in keys)), how)
+    return docs.join(side, reduce(and_, (docs[d].eqNullSafe(side[f"key{i}"]) for i, d in enumerate(keys))), how)
 
 
-def without(docs: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+def without(docs: DataFrame, rows: DataFrame, keys: dict[str, str]) -> DataFrame:
     """docs, all columns, but for those whose keys are in rows."""
     return among(docs, rows, keys, "left_anti")
 
@@ -78,6 +153,15 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.arange(total, dtype=np.int64) + np.repeat(starts - ends + lengths, lengths)]
 
 
+def text_pieces(text: str, cut, size: int = 1 << 20) -> Iterator[str]:
+    """text in pieces of about `size` characters, each of which begins where the pattern `cut` matches; whole where it never does."""
+    at = 0
+    while len(text) - at > size and (m := cut.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 class Numbered(dict):
     """Numbers words in the order they are met. fresh: those met since the last call of learn().
 

@@ -18,22 +18,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Numbered, crc_bucket, mix64
+from .common import Numbered, crc_bucket, mix64, text_pieces
 
 #: Bounds of the training sample: documents of each language (by a hash of their ids), and the characters of the longest one taken.
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 40_000
 #: The most texts of all languages together: where there are many, each teaches by fewer, but by one at least.
 SAMPLE_TOTAL = 16_000
+#: The most characters of all languages' texts together, an equal share of each (but for the first text of each): what the driver holds.
+SAMPLE_TOTAL_CHARS = 64_000_000
 #: Words of a training sequence, and the share of sequences that switch languages.
 SEQUENCE, SWITCHED = 48, 0.5
 STEPS = 25
+#: Training sequences that are worked on together.
+FIT_SEQUENCES = 1024
 FEATURE_BITS = 18
 NGRAMS = 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Words of a segment in forward-backward.
 SEGMENT = 32
+#: Characters of a text that are worked on together.
+PIECE = 1 << 20
 
 _WORD = regex.compile(r"\p{L}+")
+#: No word crosses white space, and neither does any rule of lower case.
+_CUT = regex.compile(" ")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -172,23 +180,27 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
         return crf
     ids, n = word_features(words)
     owner, scale = np.repeat(np.arange(len(words)), n), (1 / np.sqrt(n))[:, None]
-    lengths, truth = np.full(len(x), SEQUENCE), np.eye(k)[y.ravel()]
     sums = [np.full(a.shape, 1e-8) for a in (crf.weights, crf.moves, crf.first)]
     for _ in range(STEPS):
-        e = (np.add.reduceat(crf.weights[ids], np.cumsum(n) - n) * scale)[x.ravel()]
-        p = marginals(e, lengths, crf.moves, crf.first)
-        g_word = np.stack([np.bincount(x.ravel(), (truth - p)[:, j], len(words)) for j in range(k)], 1) * scale
+        emitted = np.add.reduceat(crf.weights[ids], np.cumsum(n) - n) * scale
+        g_word, move, start = np.zeros((len(words), k)), np.zeros((k, k)), np.zeros(k)
+        for at in range(0, len(x), FIT_SEQUENCES):  # the whole sample's gradient, summed over parts of it
+            of, y_of = x[at : at + FIT_SEQUENCES].ravel(), y[at : at + FIT_SEQUENCES].ravel()
+            e, truth = emitted[of], np.eye(k)[y_of]
+            p = marginals(e, np.full(len(of) // SEQUENCE, SEQUENCE), crf.moves, crf.first)
+            g_word += np.stack([np.bincount(of, (truth - p)[:, j], len(words)) for j in range(k)], 1)
+            q, r = p.reshape(-1, SEQUENCE, k), truth.reshape(-1, SEQUENCE, k)
+            move += np.einsum("sti,stj->ij", r[:, :-1], r[:, 1:]) - _pairs(e.reshape(-1, SEQUENCE, k), crf)
+            start += (r[:, 0] - q[:, 0]).sum(0)
+        g_word *= scale
         g = np.stack([np.bincount(ids, g_word[owner, j], 1 << FEATURE_BITS) for j in range(k)], 1) / len(x)
-        q, r = p.reshape(-1, SEQUENCE, k), truth.reshape(-1, SEQUENCE, k)
-        # pair marginals from neighbours' marginals, which sharpen to the truth as the fit does
-        move = np.einsum("sti,stj->ij", r[:, :-1], r[:, 1:]) - _pairs(q, e.reshape(-1, SEQUENCE, k), crf)
-        for a, d, s in zip((crf.weights, crf.moves, crf.first), (g - 1e-4 * crf.weights, move / len(x), (r[:, 0] - q[:, 0]).mean(0)), sums, strict=True):
+        for a, d, s in zip((crf.weights, crf.moves, crf.first), (g - 1e-4 * crf.weights, move / len(x), start / len(x)), sums, strict=True):
             s += d * d
             a += 0.5 * d / np.sqrt(s)
     return crf
 
 
-def _pairs(q: np.ndarray, e: np.ndarray, crf: Crf) -> np.ndarray:
+def _pairs(e: np.ndarray, crf: Crf) -> np.ndarray:
     """Expected transitions: exact pair marginals, from forward and backward vectors."""
     psi, move = np.exp(e - e.max(2, keepdims=True)), np.exp(crf.moves)
     s, t, k = psi.shape
@@ -206,7 +218,7 @@ def _pairs(q: np.ndarray, e: np.ndarray, crf: Crf) -> np.ndarray:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Crf:
-    """A field fitted to whole texts of at most sample_docs documents of each language, none over sample_chars characters.
+    """A field fitted to whole texts of at most sample_docs documents of each language, none over sample_chars characters, SAMPLE_TOTAL_CHARS in all.
 
     Rows with null text or language teach nothing. Every language is learned: where there are more than
     SAMPLE_TOTAL / sample_docs of them, each by an equal share of SAMPLE_TOTAL, and by one text at least.
@@ -217,9 +229,11 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = rows.select("lang", "doc_id").withColumn("at", at).where(F.col("at") <= each).select("lang", "doc_id").distinct()  # at most `each` rows a language
     taken = rows.join(F.broadcast(ids), rows["lang"].eqNullSafe(ids["lang"]) & rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    taken = taken.withColumn("at", F.row_number().over(order)).where(F.col("at") <= each).withColumn("chars", F.sum(F.length("text")).over(order))
+    taken = taken.where((F.col("at") == 1) | (F.col("chars") <= SAMPLE_TOTAL_CHARS // max(1, len(languages))))
     place = {lang: i for i, lang in enumerate(languages)}
-    texts = [(r["text"], r["lang"]) for r in sorted(taken.withColumn("at", at).where(F.col("at") <= each).select("lang", "text", "at").collect(), key=lambda r: (place[r["lang"]], r["at"]))]
+    texts = [(r["text"], r["lang"]) for r in sorted(taken.select("lang", "text", "at").collect(), key=lambda r: (place[r["lang"]], r["at"]))]
     return fit(texts)
 
 
@@ -268,25 +282,57 @@ class Labeller:
     def __init__(self, crf: Crf):
         self.crf, self.index = crf, _Met(len(crf.languages))
 
-    def label(self, texts: list[str | None], spans: bool = False) -> tuple[list[str], list[float], list[int], list]:
+    def emissions(self, words: list[str]) -> np.ndarray:
         crf, index = self.crf, self.index
-        words = [words_of(t) for t in texts]
-        numbers = index.numbers([w for ws in words for w in ws])
+        numbers = index.numbers(words)
         if index.fresh:
             old = len(index) - len(index.fresh)
             if len(index.rows) < len(index):
                 index.rows = np.resize(index.rows, (2 * len(index), len(crf.languages)))
             index.rows[old : len(index)] = crf.emissions(index.fresh)
             index.fresh = []
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        some = n > 0
-        p = marginals(index.rows[numbers].astype(float), n[some], crf.moves, crf.first)
+        return index.rows[numbers].astype(float)
+
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the exact marginals of one text, and the likeliest label of each word, piece by piece.
+
+        What lies before a piece reaches it as the weights of its first label, what lies behind it as
+        weights that are added to its last word. So only one piece's words are held at a time.
+        """
+        crf = self.crf
+        pieces = [x for x in text_pieces(text, _CUT, PIECE) if _WORD.search(x)]
+        marginal = lambda e, first: marginals(e, np.array([len(e)]), crf.moves, first)
+        log = lambda v: np.log(np.maximum(v, 1e-300))
+        first, firsts = crf.first, []
+        for x in pieces:
+            firsts.append(first)
+            first = log(marginal(self.emissions(words_of(x)), first)[-1] @ np.exp(crf.moves))
+        last, sums, top = np.zeros(len(crf.languages)), np.zeros(len(crf.languages)), []
+        for x, first in zip(reversed(pieces), reversed(firsts), strict=True):
+            e = self.emissions(words_of(x))
+            e[-1] += last
+            p = marginal(e, first)
+            sums += p.sum(0)
+            top.append(p.argmax(1).astype(np.int32))
+            last = log(np.exp(crf.moves) @ marginal(e, np.zeros(len(first)))[0])
+        return sums, np.concatenate(top[::-1]) if top else np.zeros(0, np.int32)
+
+    def label(self, texts: list[str | None], spans: bool = False) -> tuple[list[str], list[float], list[int], list]:
+        crf = self.crf
         lang, score, found = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-        if crf.languages and len(p):
-            ends = np.cumsum(n[some])
-            sums = np.add.reduceat(p, ends - n[some])
-            best, share = sums.argmax(1), sums.max(1) / n[some]
-            top = p.argmax(1) if spans else None
+        if len(texts) == 1 and len(texts[0] or "") > PIECE and crf.languages:
+            sums, top = self._long(texts[0])
+            n, some, sums = np.array([len(top)]), np.array([len(top) > 0]), sums[None]
+        else:
+            words = [words_of(t) for t in texts]
+            n = np.fromiter(map(len, words), np.int64, len(words))
+            some = n > 0
+            p = marginals(self.emissions([w for ws in words for w in ws]), n[some], crf.moves, crf.first)
+            if not crf.languages or not len(p):
+                return lang, score, n.tolist(), found
+            sums, top = np.add.reduceat(p, np.cumsum(n[some]) - n[some]), p.argmax(1) if spans else None
+        if some.any():
+            ends, best, share = np.cumsum(n[some]), sums.argmax(1), sums.max(1) / n[some]
             for j, i in enumerate(np.flatnonzero(some).tolist()):
                 lang[i], score[i] = crf.languages[best[j]], float(min(1.0, share[j]))
                 if spans:
@@ -304,19 +350,27 @@ class Evidence:
 
     def known(self, texts: list[str | None]) -> list[float]:
         """The mean over each text's words; 0 for a text without letters, or if nothing was learned."""
-        index, words = self.index, [words_of(t) for t in texts]
-        numbers = index.numbers([w for ws in words for w in ws])
+        if len(texts) == 1 and len(texts[0] or "") > PIECE:
+            parts = [self._shares(words_of(x)) for x in text_pieces(texts[0], _CUT, PIECE)]
+            return [float(sum(x.sum() for x in parts) / max(1, sum(map(len, parts))))]
+        words = [words_of(t) for t in texts]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.zeros(len(texts))
+        if n.any():
+            shares = self._shares([w for ws in words for w in ws])
+            out[n > 0] = np.add.reduceat(shares, (np.cumsum(n) - n)[n > 0]) / n[n > 0]
+        return out.tolist()
+
+    def _shares(self, words: list[str]) -> np.ndarray:
+        index = self.index
+        numbers = index.numbers(words)
         if index.fresh:
             old = len(index) - len(index.fresh)
             if len(index.rows) < len(index):
                 index.rows = np.resize(index.rows, (2 * len(index), 1))
             index.rows[old : len(index), 0] = self.crf.known(index.fresh)
             index.fresh = []
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        out = np.zeros(len(texts))
-        if n.any():
-            out[n > 0] = np.add.reduceat(index.rows[numbers, 0].astype(float), (np.cumsum(n) - n)[n > 0]) / n[n > 0]
-        return out.tolist()
+        return index.rows[numbers, 0].astype(float)
 
 
 def held_out(col: str = "doc_id"):
@@ -332,15 +386,16 @@ def known_language(docs: DataFrame, crf: Crf, least: float = LEAST_KNOWN) -> Dat
     """docs, all columns, without those that have no letters or whose words are of none of the languages.
 
     Words count by the evidence for all languages together, so a text that switches between several of
-    them stays, however even their shares.
+    them stays, however even their shares. Null and blank texts have no letters; if nothing was
+    learned all go. Rows that repeat stay or go alike; no rows give no rows. Of the rows the text
+    alone is handed to Python.
     """
-    shared, at = docs.sparkSession.sparkContext.broadcast(crf), docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Evidence(shared.value)
-        for b in batches:
-            for lo, hi in slices(b.column(at)):
-                part = b.slice(lo, hi - lo)
-                yield part.filter(pa.array([x >= least for x in labeller.known(part.column(at).to_pylist())], pa.bool_()))
+    @F.arrow_udf("double")
+    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = Evidence(shared.value)
+        for texts in batches:
+            yield pa.array([x for lo, hi in slices(texts) for x in judge.known(texts.slice(lo, hi - lo).to_pylist())], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(evidence(F.col("text").cast("string")) >= least)
