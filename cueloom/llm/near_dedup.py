@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, GOLDEN, mix64, settled
-from .words import SPACED, Words, in_slices
+from .common import BROADCAST_IDS, GOLDEN, HOT_ROWS, HOT_SHARE, frequent_keys, mix64, settled, spread_join
+from .words import SPACED, STEP, Words, in_slices
 
 REGISTERS = 240
 #: The most likely that bands miss a pair at the threshold; it sets how many registers a band has.
 MISS = 1e-8
 BASE = 1.0005
 _OFFSET = math.ceil(4 / math.log(BASE))
+#: Orders in which buckets choose their pivots: a text has about so many different ones in the buckets of a group, whatever the number of bands.
+PIVOTS = 8
 #: Twice the log likelihood ratio at which a pair is set aside: over six standard deviations.
 CUT = 40.0
 
@@ -43,8 +45,13 @@ def band_rows(threshold: float, m: int = REGISTERS) -> int:
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each text's runs of k words, sorted, one text after another, and how many each text has.
 
-    A text with fewer words, but some, has its whole sequence as one shingle.
+    A text with fewer words, but some, has its whole sequence as one shingle. A long text is taken in steps.
     """
+    if len(words) == 1 and len(words.hash) > STEP:
+        h = np.empty(0, np.uint64)
+        for lo in range(0, len(words.hash), STEP):
+            h = np.union1d(h, words.windows(k, lo, lo + STEP)[0])
+        return h, np.array([len(h)])
     h, whole = words.windows(k)
     text = words.text_of()
     at = np.flatnonzero(whole)
@@ -64,6 +71,8 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def minima(h: np.ndarray, counts: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     """For each set (counts of hashes, one set after another) the least arrival in each of m registers; infinite for an empty set."""
+    if len(counts) == 1 and len(h) > STEP:  # minima of parts merge
+        return np.min([minima(h[at : at + STEP], np.array([len(h[at : at + STEP])]), m) for at in range(0, len(h), STEP)], 0)
     low = np.full(len(counts) * m, np.inf)
     owner = np.repeat(np.arange(len(counts)), counts)
     x, live, t = np.zeros(len(h)), h, 0
@@ -140,10 +149,11 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return settled(rows.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"]))
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with the likeliest similarity j, without those that can't reach num/den by their sizes or, plausibly, by their registers."""
+def _plausible(pairs: DataFrame, hot: DataFrame | None, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (a, b), with these ids in many, with the likeliest similarity j, without those that can't reach num/den by their sizes or, plausibly, by their registers."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    sized = spread_join(spread_join(pairs, side("a"), "a", hot), side("b"), "b", hot)
+    sized = sized.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,11 +164,11 @@ def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(j).filter(keep)], names=["a", "b", "j"])
 
-    return sized.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long, j double")
+    return settled(sized.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long, j double"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _verified(pairs: DataFrame, hot: DataFrame | None, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b), with these ids in many, whose full sets are similar enough."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,40 +180,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * common >= num * (len(both) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = spread_join(spread_join(pairs.select("a", "b"), side("a"), "a", hot), side("b"), "b", hot)
     return settled(both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
 
 
+def _with_least(edges: DataFrame, bound: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u. That of a node with more than `bound` edges, of which there are few, is broadcast."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = F.broadcast(least.where(F.col("n") > bound).select("u", "m"))
+    cold = edges.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
+    return edges.join(hot, "u").unionByName(cold)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, comp (the least id that is reachable) of every id in links (a, b), by large and small stars in turn."""
-    size = lambda n: max(8, n // 200_000)
-    edges, before = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), 64), None
+    edges, before = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, bound = now, max(HOT_ROWS, 2 * now[0] // HOT_SHARE)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = settled(small, size(now[0]))
+        large = settled(_with_least(both, bound).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        star = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        edges = settled(_with_least(large, bound).select(star.alias("e")).select("e.*").where("u <> v").distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
-def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't in one component yet."""
+def _across(pairs: DataFrame, hot: DataFrame | None, comp: DataFrame) -> DataFrame:
+    """The pairs, with these ids in many, whose ends aren't in one component yet."""
     of = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    both = spread_join(spread_join(pairs, of("a"), "a", hot, "left"), of("b"), "b", hot, "left")
     return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
 
-def _open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
+def _open_buckets(members: DataFrame, comp: DataFrame, hot: DataFrame | None) -> DataFrame:
     """bucket, id, comp of the buckets whose members are in several components."""
     placed = settled(members.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return settled(placed.join(several, "bucket", "left_semi"))
+    return settled(spread_join(placed, several, "bucket", hot, "left_semi"))
 
 
 def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
@@ -211,7 +226,8 @@ def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
 
     With shingles in one order, rarest first, two sets that are similar enough share one among the
     first n - ceil(num * n / den) + 1 of each; and where they first meet, what is left of both
-    bounds what they can share. Shingles of one set alone come first and meet nothing.
+    bounds what they can share. Shingles of one set alone come first and meet nothing. A shingle that
+    many sets meet in is dealt over tasks on one side and repeated on the other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +245,7 @@ def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
     rare = settled(rare.select("id", "comp", "n", F.col("s.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i")).alias("left")))
     one, two = (rare.select(*(F.col(c).alias(c if c == "h" else f"{c}_{x}") for c in rare.columns)) for x in "ab")
     most = F.least("left_a", "left_b")
-    both = one.join(two, "h").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") > F.col("id_b")) & (den * most >= num * (F.col("n_a") + F.col("n_b") - most)))
+    both = spread_join(one, two, "h", frequent_keys(rare, "h")).where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") > F.col("id_b")) & (den * most >= num * (F.col("n_a") + F.col("n_b") - most)))
     return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -248,39 +264,45 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m: int
     rows = band_rows(num / den, m)
     bands = F.transform(F.sequence(F.lit(0), F.lit(m // rows - 1)), lambda i: F.xxhash64(i, F.substring("regs", 2 * rows * i + 1, F.lit(2 * rows))))
     banded = reps.select("id", F.explode(bands).alias("bucket"))
-    pivots = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket"), "id"))["id"].alias("pivot"), F.count("*").alias("size")).where("size > 1").select("bucket", "pivot")
-    members = settled(banded.join(pivots, "bucket"))
+    pivots = settled(banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(PIVOTS))), "id"))["id"].alias("pivot"), F.count("*").alias("size")).where("size > 1"))
+    hot = frequent_keys(pivots, "bucket", n=reps.count() * (m // rows), size="size")
+    members = settled(spread_join(banded, pivots.select("bucket", "pivot"), "bucket", hot))
     sets = _sets(docs, settled(members.select("id").distinct().join(reps.select("id", "digest"), "id")), k)
 
     # with the pivot of each bucket: first each text's likeliest one, then the others that this hasn't brought together
     ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    pairs = settled(_plausible(members.where("id <> pivot").select(*ordered("id", "pivot")).distinct(), reps, num, den))
-    first = pairs.groupBy("a").agg(F.max_by("b", F.struct("j", -F.col("b"))).alias("b"))
-    links = _verified(first, sets, num, den)
+    asked = settled(members.where("id <> pivot").select(*ordered("id", "pivot")).distinct())
+    often = frequent_keys(asked, "a", "b")
+    pairs = _plausible(asked, often, reps, num, den)
+    first = settled(pairs.groupBy("a").agg(F.max_by("b", F.struct("j", -F.col("b"))).alias("b")))
+    links = _verified(first, often, sets, num, den)
     star = links.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    links = links.unionByName(_verified(_across(pairs.join(first, ["a", "b"], "left_anti"), star), sets, num, den))
+    links = links.unionByName(_verified(_across(pairs.join(first, ["a", "b"], "left_anti"), often, star), often, sets, num, den))
     comp = components(links)
 
     # with the member of most links in each bucket that still has several components
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    open_ = _open_buckets(members, comp)
+    open_ = _open_buckets(members, comp, hot)
     hubs = open_.join(degree, "id", "left").groupBy("bucket").agg(F.max_by(F.struct("id", "comp"), F.struct(F.coalesce("links", F.lit(0)), -F.col("id"))).alias("hub"))
-    to_hub = open_.join(hubs, "bucket").where(F.col("comp") != F.col("hub.comp")).select(*ordered("id", F.col("hub.id"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = _verified(_plausible(to_hub, reps, num, den), sets, num, den)
+    to_hub = spread_join(open_, hubs, "bucket", hot).where(F.col("comp") != F.col("hub.comp")).select(*ordered("id", F.col("hub.id"))).distinct().join(pairs, ["a", "b"], "left_anti")
+    asked = settled(to_hub)
+    often = frequent_keys(asked, "a", "b")
+    found = _verified(_plausible(asked, often, reps, num, den), often, sets, num, den)
     if not found.isEmpty():
         links = links.unionByName(found)
         comp = components(links)
 
     # all others across components, by the rarest shingles that similar sets must share
-    open_ = _open_buckets(members.where("id <> pivot"), comp)
-    ids = settled(open_.select("id", "comp").distinct().join(reps.select("id", "n"), "id"), 64)
-    late = _plausible(_crossing(sets, ids, num, den).join(pairs, ["a", "b"], "left_anti"), reps, num, den)
-    found = _verified(late, sets, num, den)
+    open_ = _open_buckets(members.where("id <> pivot"), comp, hot)
+    ids = settled(open_.select("id", "comp").distinct().join(reps.select("id", "n"), "id"))
+    asked = settled(_crossing(sets, ids, num, den).join(pairs, ["a", "b"], "left_anti"))
+    often = frequent_keys(asked, "a", "b")
+    found = _verified(_plausible(asked, often, reps, num, den), often, sets, num, den)
     if not found.isEmpty():
         comp = components(links.unionByName(found))
 
     groups = reps.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
-    named = all_.where("doc_id is not null and n > 0").select("doc_id", "n", "digest").join(groups, "digest")
+    named = spread_join(named.select("doc_id", "n", "digest"), groups, "digest", frequent_keys(named, "digest"))
     alone = all_.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("comp"))
     out = named.select("doc_id", "n", "comp").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("comp")).alias("kept"))
