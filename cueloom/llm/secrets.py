@@ -45,24 +45,41 @@ def spans(text: Column, kind: str) -> Column:
     """Matches of a kind that are long enough: structs of start, kind and end, in code points.
 
     The pieces between matches and the matches themselves alternate, so their lengths add up to
-    the places. A pattern that is one run of a class needs its least length in the pattern alone.
+    the places. They are added up in runs of about the root of their number, and then the runs'
+    sums, so that a text with very many matches doesn't copy a growing list for each of them.
+    A pattern that is one run of a class needs its least length in the pattern alone.
     """
     pattern, group, least = (STRONG | WEAK)[kind]
     if group == 0 and pattern.endswith("+") and kind in STRONG:  # a maximal run: shorter ones needn't be listed
         fixed = len("AKIA") if kind == "access" else 0
         pattern = pattern[:-1] + f"{{{least - fixed},}}"
     all_ = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), all_(0).alias("match"), all_(group).alias("value"))
+    sizes = lambda c: F.transform(c, F.length)
+    zipped = F.arrays_zip(sizes(F.split(text, pattern, -1)).alias("piece"), sizes(all_(0)).alias("match"), sizes(all_(group)).alias("value"))
     zero = F.struct(F.lit(0).alias("at"), _no_spans().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
+        begin = acc["at"] + x["piece"]
+        end = begin + F.coalesce(x["match"], F.lit(0))
         span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        long_enough = F.coalesce(F.length(x["value"]) >= least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(F.coalesce(x["value"] >= least, F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step)["out"]).otherwise(_no_spans())
+    def placed(matches: Column) -> Column:
+        run = F.ceil(F.sqrt(F.size(matches))).cast("int")
+        runs = F.transform(F.sequence(F.lit(1), F.size(matches), run), lambda i: F.aggregate(F.slice(matches, i, run), zero, step))
+        return _let(runs, joined)
+
+    def joined(runs: Column) -> Column:
+        sums = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        moved = lambda r, by: F.transform(r["out"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
+        return F.flatten(F.zip_with(runs, sums, moved))
+
+    return F.when(text.rlike(pattern), _let(zipped, placed)).otherwise(_no_spans())
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _listed(array: Column) -> Column:
