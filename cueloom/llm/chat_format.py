@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import gather
 
 #: The template's control strings.
 OPEN, CLOSE = b"<|im_start|>", b"<|im_end|>"
 LOSS_ROLE = b"assistant"
+#: Bytes from which a segment is copied as one piece, so that no index grows with it.
+LONG = 1 << 16
 
 #: "<", any number of backslashes, "|": one more backslash makes control strings inert, one less brings them back.
 _HIDE, _SHOW = re.compile(rb"<(\\*)\|"), re.compile(rb"<\\(\\*)\|")
@@ -48,6 +49,17 @@ def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
+def _scatter(view: np.ndarray, place: np.ndarray, parts: np.ndarray, lengths: np.ndarray) -> None:
+    """Copies the parts, which lie one after another, to their places: by an index for each byte, but long ones as they are."""
+    starts = np.cumsum(lengths) - lengths
+    short = lengths < LONG
+    for i in np.flatnonzero(~short).tolist():
+        view[place[i] : place[i] + lengths[i]] = parts[starts[i] : starts[i] + lengths[i]]
+    n, of = lengths[short], np.arange(int(lengths[short].sum()))
+    within = of - np.repeat(np.cumsum(n) - n, n)
+    view[np.repeat(place[short], n) + within] = parts[np.repeat(starts[short], n) + within]
+
+
 def assemble(roles: list[bytes], texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Formatted turns as one Arrow array, and where in each turn the loss mask begins and ends (equal: no loss)."""
     n = len(roles)
@@ -60,11 +72,10 @@ def assemble(roles: list[bytes], texts: list[bytes]) -> tuple[pa.Array, np.ndarr
     total = int(ends[-1]) if n else 0
     out = pa.allocate_buffer(total)
     view = np.frombuffer(out, np.uint8)
-    slots = np.arange(total)
     view[place[:, :1] + np.arange(len(OPEN))] = fixed[: len(OPEN)]
-    view[gather(slots, place[:, 1], name_len)] = names
+    _scatter(view, place[:, 1], names, name_len)
     view[place[:, 2]] = ord("\n")
-    view[gather(slots, place[:, 3], content_len)] = content
+    _scatter(view, place[:, 3], content, content_len)
     view[place[:, 4:] + np.arange(len(CLOSE) + 1)] = fixed[len(OPEN) + 1 :]
     starts = np.concatenate(([0], ends)).astype(np.int64)
     loss = np.array([r == LOSS_ROLE for r in roles], bool)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -83,32 +83,43 @@ class Lexicon:
         return a
 
 
-def matches(automaton, text: str) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the entries in folded text that start a word and lie in no exception phrase."""
+def matches(automaton, text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, weight) of the entries in folded text that start a word and lie in no exception phrase, by their ends.
+
+    One sweep: a match waits until no exception that could cover it can still end, and an exception
+    that ends takes away the waiting matches that it covers.
+    """
     if not len(automaton):
-        return []
-    found, spared = [], []
+        return
+    longest = automaton.get_stats()["longest_word"]
+    waiting: deque = deque()
+    spared = (0, 0)  # the last exception: of those that end at one place the longest comes first, and before shorter matches
     for last, (n, weight) in automaton.iter(text):
-        start = last + 1 - n
+        start, end = last + 1 - n, last + 1
+        while waiting and waiting[0][1] + longest < end:
+            yield waiting.popleft()
         if start and text[start - 1].isalnum():
             continue
         if weight is not None:
-            found.append((start, last + 1, weight))
-        elif last + 1 == len(text) or not text[last + 1].isalnum():
-            spared.append((start, last + 1))
-    if spared:
-        found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in spared)]
-    return found
+            if end != spared[1] or start < spared[0]:
+                waiting.append((start, end, weight))
+        elif end == len(text) or not text[end].isalnum():
+            if end != spared[1]:
+                spared = start, end
+            for _ in range(len(waiting)):  # at most those of one phrase's length
+                m = waiting.popleft()
+                if m[0] < start:
+                    waiting.append(m)
+    yield from waiting
 
 
 def features(automaton, text: str) -> tuple[float, float, int]:
     """log(1 + weight), log(1 + weight for each 100 words), matches."""
     folded = fold(text)
-    found = matches(automaton, folded)
-    if not found:
-        return 0.0, 0.0, 0
-    total = sum(w for _, _, w in found)
-    return math.log1p(total), math.log1p(100 * total / max(1, folded.count(" ") + 1)), len(found)
+    total, n = 0.0, 0
+    for _, _, w in matches(automaton, folded):
+        total, n = total + w, n + 1
+    return (math.log1p(total), math.log1p(100 * total / max(1, folded.count(" ") + 1)), n) if n else (0.0, 0.0, 0)
 
 
 def _counted(rows: DataFrame, terms) -> DataFrame:
@@ -164,6 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
             weights[r["term"]] = float(r["w"])
     lexicon = Lexicon(weights)
 
+    # phrases and curve come from the texts that chose the entries: the sample is all that is read
     automaton = lexicon.automaton()
 
     def around(text: str) -> set[str]:
