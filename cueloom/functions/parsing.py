@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cueloom.functions.text import clock_ms
+from cueloom.functions.text import clock_ms, trimmed
 
 #: Fixed value: a progress line.
 PROGRESS = r"PROGRESS\s+([\d.]+)%\s+of\s+([\d.]+\w+)"
@@ -42,12 +42,12 @@ def progress_line(line: Column) -> Column:
 
 def error_line(stderr: Column) -> Column:
     """The last line with an error marker, else the last one that isn't usage, else an empty text."""
-    lines = F.filter(F.transform(F.split(stderr, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(stderr, "\n"), lambda s: trimmed(s)), lambda s: s != "")
     mark = r"(?i)^(yt-dlp:\s*error:|ERROR:)\s*(.*)$"
     marked = F.filter(lines, lambda s: s.rlike(mark))
     plain = F.filter(lines, lambda s: ~F.lower(F.substring(s, 1, 6)).eqNullSafe("usage:"))
     last = F.try_element_at(marked, F.lit(-1))
-    said = F.trim(F.concat(F.regexp_extract(last, mark, 1), F.lit(" "), F.trim(F.regexp_extract(last, mark, 2))))
+    said = trimmed(F.concat(F.regexp_extract(last, mark, 1), F.lit(" "), trimmed(F.regexp_extract(last, mark, 2))))
     return F.coalesce(F.when(F.size(marked) > 0, said), F.try_element_at(plain, F.lit(-1)), F.lit(""))
 
 
@@ -59,7 +59,7 @@ def log_line(line: Column) -> Column:
 
 def string_array(reply: Column) -> Column:
     """The strings of a model's JSON array, from the first [ to the last ], fenced or not; null unless all items are strings."""
-    s = F.trim(reply)
+    s = trimmed(reply)
     s = F.when(F.startswith(s, F.lit("```")), F.regexp_replace(F.regexp_replace(s, r"^```(?:json)?\s*", ""), r"\s*```\s*$", "")).otherwise(s)
     body = F.regexp_extract(s, r"(?s)(\[.*\])", 1)
     parsed = F.try_parse_json(F.nullif(body, F.lit("")))
@@ -76,15 +76,15 @@ def insights(markdown: Column) -> Column:
 
     Without a summary heading all in front of the chapters is the summary.
     """
-    with_summary = F.trim(F.regexp_extract(markdown, r"(?is)## Summary\s*\n(.*?)(?=\n## |$)", 1))
+    with_summary = trimmed(F.regexp_extract(markdown, r"(?is)## Summary\s*\n(.*?)(?=\n## |$)", 1))
     head = F.regexp_replace(markdown, r"(?is)## Chapters\s*\n.*$", "")
-    lines = F.transform(F.split(F.when(with_summary != "", with_summary).otherwise(F.trim(head)), "\n"), lambda s: F.trim(s))
+    lines = F.transform(F.split(F.when(with_summary != "", with_summary).otherwise(trimmed(head)), "\n"), lambda s: trimmed(s))
     first = F.array_position(F.transform(lines, lambda s: F.startswith(s, F.lit("- "))), F.lit(True)).cast("int")
     prose = F.when(first == 0, lines).otherwise(F.slice(lines, 1, F.greatest(first - 1, F.lit(0))))
     summary = F.array_join(F.filter(prose, lambda s: s != ""), " ")
-    bullets = F.transform(F.filter(lines, lambda s: F.startswith(s, F.lit("- "))), lambda s: F.trim(F.substring(s, 3, 1 << 30)))
-    block = F.transform(F.split(F.regexp_extract(markdown, r"(?is)## Chapters\s*\n(.*)$", 1), "\n"), lambda s: F.trim(s))
-    g = lambda s, i: F.trim(F.regexp_extract(s, CHAPTER, i))
+    bullets = F.transform(F.filter(lines, lambda s: F.startswith(s, F.lit("- "))), lambda s: trimmed(F.substring(s, 3, 1 << 30)))
+    block = F.transform(F.split(F.regexp_extract(markdown, r"(?is)## Chapters\s*\n(.*)$", 1), "\n"), lambda s: trimmed(s))
+    g = lambda s, i: trimmed(F.regexp_extract(s, CHAPTER, i))
     chapters = F.transform(F.filter(block, lambda s: s.rlike(CHAPTER)), lambda s: F.struct(clock_ms(g(s, 1)).alias("start_ms"), g(s, 2).alias("title"), g(s, 3).alias("description")))
     return F.when((summary != "") | (F.size(bullets) > 0) | (F.size(chapters) > 0), F.struct(summary.alias("summary"), bullets.alias("bullets"), chapters.alias("chapters")))
 

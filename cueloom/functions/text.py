@@ -28,8 +28,16 @@ def clock_ms(text: Column) -> Column:
 
 #: The ranges that count as a token each.
 CJK = r"[\u3400-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af]"
-#: The white space of the estimate.
-SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: White space, as the estimate counts it and as texts are trimmed of it.
+BLANKS = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = rf"[\t-\r {BLANKS}]"
+#: The same but for the line feed.
+IN_LINE = rf"[\t\x0B-\r {BLANKS}]"
+
+
+def trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def token_estimate(text: Column) -> Column:
@@ -46,16 +54,17 @@ def dominant_language(text: Column) -> Column:
 
 
 def strip_control_tags(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\|[^|]*\|>", "")
+    """Without <|...|> that holds neither a bar nor a closing bracket."""
+    return F.regexp_replace(text, r"<\|[^|>]*\|>", "")
 
 
 def strip_think(text: Column) -> Column:
     """Without think blocks; an unclosed one goes to the end. Trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?(</think>|$)", ""))
+    return trimmed(F.regexp_replace(text, r"(?s)<think>.*?(</think>|$)", ""))
 
 
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def compact(text: Column, most: int) -> Column:
@@ -65,17 +74,20 @@ def compact(text: Column, most: int) -> Column:
 
 
 def sentence_case(text: Column) -> Column:
-    """Where 60 % or more of the ASCII letters are capitals: lower case, but for the first letter of each sentence."""
+    """Where 60 % or more of the ASCII letters are capitals: lower case, but for a-z at the start and after the end of a sentence."""
     letters, capitals = F.regexp_count(text, F.lit("[A-Za-z]")), F.regexp_count(text, F.lit("[A-Z]"))
-    pieces = F.split(F.regexp_replace(F.lower(text), r"([.!?]\s+)", "$1\x01"), "\x01")
-    up = F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30)))
+    pieces = F.split(F.regexp_replace(F.lower(text), rf"([.!?]{SPACE}++)", "$1\x01"), "\x01")
+    first = lambda p: F.substring(p, 1, 1)
+    up = F.transform(pieces, lambda p: F.concat(F.when(first(p).rlike("[a-z]"), F.upper(first(p))).otherwise(first(p)), F.substring(p, 2, 1 << 30)))
     return F.when((letters > 0) & (capitals >= 0.6 * letters), F.array_join(up, "")).otherwise(text)
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a of 32 bits over code points, eight hex digits."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
-    h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c.cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    """FNV-1a of 32 bits over UTF-16 units, eight hex digits."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    pair = lambda c: F.array(F.lit(0xD800) + F.shiftright(c - 0x10000, 10), F.lit(0xDC00) + (c - 0x10000).bitwiseAND(F.lit(0x3FF)))
+    units = F.flatten(F.transform(codes, lambda c: F.when(c < 0x10000, F.array(c)).otherwise(pair(c))))
+    h = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c.cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     return F.lower(F.lpad(F.hex(h), 8, "0"))
 
 
@@ -86,17 +98,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm < 1e-12, 0.0).otherwise(dot(a, b) / norm)
 
 
-def human_bytes(text: Column) -> Column:
-    """Bytes of "1.5MiB" and the like; null if it isn't one."""
-    n, unit = F.regexp_extract(text, r"^~?\s*([\d.]+)\s*([KMGT]?)i?B", 1).try_cast("double"), F.regexp_extract(text, r"^~?\s*([\d.]+)\s*([KMGT]?)i?B", 2)
-    power = F.when(unit == "K", 1).when(unit == "M", 2).when(unit == "G", 3).when(unit == "T", 4).otherwise(0)
-    return F.floor(n * F.pow(F.lit(1024.0), power) + 0.5).cast("long")
-
-
 def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(done / total * 100 + 0.5)).otherwise(0).cast("int")
 
 
-def safe_name(text: Column) -> Column:
-    """A file name without what file systems forbid; runs of white space are one blank."""
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|\x00-\x1f]', "_"), r"\s+", " ")), 1, 120)
+def safe_name(name: Column, sha: Column) -> Column:
+    """name without its extension and with a line for each run of what file systems forbid; media- and eight digits of sha where nothing is left."""
+    stem = trimmed(F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[^.]+$", ""))
+    safe = F.regexp_replace(stem, r'[/\\:*?"<>|]+', "_")
+    return F.when(safe != "", safe).otherwise(F.concat(F.lit("media-"), F.substring(sha, 1, 8)))
+
+
+def bytes_text(n: Column) -> Column:
+    """n bytes in decimal units: two places from a GB, one from a KB."""
+    unit = lambda size, places, name: F.concat(F.format_string(f"%.{places}f", n / size), F.lit(f" {name}"))
+    return F.when(n >= 1e9, unit(1e9, 2, "GB")).when(n >= 1e6, unit(1e6, 1, "MB")).when(n >= 1e3, unit(1e3, 1, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def duration_text(seconds: Column) -> Column:
+    """M:SS, or H:MM:SS from an hour; empty for null, negative and infinite values."""
+    s = F.floor(seconds)
+    hours, minutes, rest = F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), two_digits((s % 60).cast("long"))
+    text = F.when(hours > 0, F.concat_ws(":", hours.cast("string"), two_digits(minutes), rest)).otherwise(F.concat_ws(":", minutes.cast("string"), rest))
+    usable = seconds.isNotNull() & ~F.isnan(seconds) & (seconds >= 0) & (seconds < float("inf"))
+    return F.when(usable, text).otherwise("")
+
+
+#: Starts of paths that must not leave a machine.
+RAW_PATH = r"""(^|["'\s])(/Users/|/tmp/|[A-Za-z]:\\)[^"'\s]+"""
+
+
+def has_raw_path(text: Column) -> Column:
+    return text.rlike(RAW_PATH)
+
+
+def detected_language(output: Column) -> Column:
+    """The code that a tool's output names as auto-detected, in lower case; null if it names none."""
+    found = F.regexp_extract(output, r"(?i)auto-detected language:\s*([a-z]{2,3})\b", 1)
+    return F.lower(F.nullif(found, F.lit("")))

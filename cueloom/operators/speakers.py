@@ -35,11 +35,11 @@ def consolidate(segments: DataFrame, centroids: DataFrame, top_k: int = 0, share
     """media, raw_speaker, speaker_id: major raw speakers get labels by duration, others their most similar major's, if similar enough, else unknown.
 
     top_k of 0 takes as major whoever has the share and the seconds, or else the longest. Centroids
-    (raw_speaker, centroid) are few, one for each raw speaker; a raw speaker without one is unknown.
+    (media, raw_speaker, centroid) are of each media's own raw speakers; one without is unknown.
     """
     stats = speech_seconds(segments, "media", "raw_speaker")
     total = F.sum("duration_s").over(Window.partitionBy("media"))
-    stats = stats.withColumn("total_s", total).join(centroids, "raw_speaker", "left")
+    stats = stats.withColumn("total_s", total).join(centroids.select("media", "raw_speaker", "centroid"), ["media", "raw_speaker"], "left")
     known = stats.where("centroid is not null")
     rank = F.row_number().over(Window.partitionBy("media").orderBy(F.desc("duration_s"), "raw_speaker")) - 1
     known = known.withColumn("rank", rank)
@@ -47,7 +47,7 @@ def consolidate(segments: DataFrame, centroids: DataFrame, top_k: int = 0, share
     known = known.withColumn("major", fits).withColumn("major", F.col("major") | (~F.max("major").over(Window.partitionBy("media")) & (F.col("rank") == 0)))
     majors = known.where("major").withColumn("speaker_id", label((F.row_number().over(Window.partitionBy("media").orderBy("rank")) - 1).cast("int")))
     other = known.where("not major").select("media", "raw_speaker", "centroid").join(majors.select("media", F.col("centroid").alias("c"), F.col("speaker_id").alias("s"), F.col("rank").alias("r")), "media")
-    best = other.groupBy("media", "raw_speaker").agg(F.max(F.struct(F.round(cosine(F.col("centroid"), F.col("c")), 9).alias("score"), -F.col("r"), "s")).alias("best"))
+    best = other.groupBy("media", "raw_speaker").agg(F.max(F.struct(cosine(F.col("centroid"), F.col("c")).alias("score"), -F.col("r"), "s")).alias("best"))
     near = best.select("media", "raw_speaker", F.when(F.col("best.score") >= merge_at, F.col("best.s")).otherwise("unknown").alias("speaker_id"))
     mapped = majors.select("media", "raw_speaker", "speaker_id").unionByName(near)
     return stats.select("media", "raw_speaker", "duration_s").join(mapped, ["media", "raw_speaker"], "left").withColumn("speaker_id", F.coalesce("speaker_id", F.lit("unknown")))

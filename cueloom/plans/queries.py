@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cueloom.functions import parsing as P
 from cueloom.functions import text as T
 from cueloom.operators import intervals, sequences, speakers
 from cueloom.plans import queue
@@ -437,14 +438,15 @@ _CONS = """WITH e AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label
     r AS (SELECT *, row_number() OVER (PARTITION BY media ORDER BY duration_s DESC, raw_speaker) - 1 AS rk, duration_s >= 8 AND duration_s / greatest(total, 1e-9) >= 0.2 AS fits FROM k),
     m AS (SELECT *, fits OR (NOT bool_or(fits) OVER (PARTITION BY media) AND rk = 0) AS major FROM r),
     l AS (SELECT *, 'speaker_' || chr(CAST(65 + row_number() OVER (PARTITION BY media ORDER BY rk) - 1 AS INTEGER)) AS speaker_id FROM m WHERE major),
-    o AS (SELECT a.media, a.raw_speaker, a.duration_s, l.speaker_id, round(list_cosine_similarity(a.v, l.v), 9) AS score, row_number() OVER (PARTITION BY a.media, a.raw_speaker ORDER BY round(list_cosine_similarity(a.v, l.v), 9) DESC, l.rk) AS k
+    o AS (SELECT a.media, a.raw_speaker, a.duration_s, l.speaker_id, list_cosine_similarity(a.v, l.v) AS score, row_number() OVER (PARTITION BY a.media, a.raw_speaker ORDER BY list_cosine_similarity(a.v, l.v) DESC, l.rk) AS k
           FROM m a JOIN l ON l.media = a.media WHERE NOT a.major),
     f AS (SELECT media, raw_speaker, duration_s, speaker_id FROM l UNION ALL SELECT media, raw_speaker, duration_s, CASE WHEN score >= 0.2 THEN speaker_id ELSE 'unknown' END FROM o WHERE k = 1)"""
 
 
 def _consolidated(spark, d):
     c = speakers.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").withColumnRenamed("label", "raw_speaker")
-    return speakers.consolidate(adapters.raw_segments(spark, d), c, share=0.2, merge_at=0.2)
+    segments = adapters.raw_segments(spark, d)
+    return speakers.consolidate(segments, segments.select("media", "raw_speaker").distinct().join(c, "raw_speaker"), share=0.2, merge_at=0.2)
 
 
 @query(_CONS + " SELECT media, raw_speaker, round(duration_s, 3) AS duration_s, speaker_id FROM f")
@@ -556,7 +558,7 @@ def url_names(spark, d):
 def size_parse(spark, d):
     p = table(spark, d, "part")
     unit = F.element_at(F.array(*map(F.lit, ("B", "KiB", "MiB", "GiB"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return p.select("p_partkey", T.human_bytes(F.concat(F.round("p_retailprice", 1).cast("string"), unit)).alias("bytes"))
+    return p.select("p_partkey", P.size_bytes(F.concat(F.round("p_retailprice", 1).cast("string"), unit)).alias("bytes"))
 
 
 @query("SELECT media, cue_idx FROM {cues} WHERE contains(lower(text), 'tion')")

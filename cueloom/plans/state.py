@@ -22,9 +22,10 @@ def resolve_prefix(videos: DataFrame, wanted: DataFrame, least: int = 6) -> Data
 
 
 def highlight(rows: DataFrame, key: str, text: str, needle: str) -> DataFrame:
-    """Each text as runs that are the needle, in any case, or are between needles."""
-    found = F.regexp_extract_all(text, F.lit(f"(?i){needle}"), F.lit(0))
-    pieces = F.split(text, f"(?i){needle}", -1)
+    """Each text as runs that are the needle, as it is written but in any case, or are between needles."""
+    pattern = r"(?iu)\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.split(text, pattern, -1)
     run = lambda t, m: F.struct(t.alias("t"), F.lit(m).alias("is_match"))
     runs = F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: F.array(run(x["p"], False), run(x["m"], True))))
     kept = F.filter(runs, lambda r: r["t"].isNotNull() & (r["t"] != ""))

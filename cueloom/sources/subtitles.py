@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.functions.text import clock
+from cueloom.functions.text import IN_LINE, clock, trimmed
 
 #: Time lines of the two formats.
 VTT_TIME = r"^(\d{2}):(\d{2}):(\d{2})\.(\d{3})\s+-->\s+(\d{2}):(\d{2}):(\d{2})\.(\d{3})"
 SRT_TIME = r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})[,.](\d{3})"
+SRT_STRICT = r"^(\d{2}):(\d{2}):(\d{2}),(\d{3})\s+-->\s+(\d{2}):(\d{2}):(\d{2}),(\d{3})$"
 ASS_LINE = r"^Dialogue:\s*\d+,(\d+):(\d{2}):(\d{2})\.(\d{2}),(\d+):(\d{2}):(\d{2})\.(\d{2}),[^,]*,[^,]*,[^,]*,[^,]*,[^,]*,[^,]*,(.*)$"
 
 
@@ -22,11 +23,12 @@ def _time(line: Column, pattern: str, first: int, fraction: int = 1) -> Column:
     return ((g(0) * 60 + g(1)) * 60 + g(2)) * 1000 + g(3) * fraction
 
 
-def _blocks(files: DataFrame, pattern: str, trimmed: bool) -> DataFrame:
+def _blocks(files: DataFrame, pattern: str, loose: bool) -> DataFrame:
     """A row per run of lines that aren't blank: media, at, head (the lines before the first time line), line (that one, or null) and text."""
-    content = F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), r"(\n[^\S\n]*)+$", "")
-    each = files.select("media", F.posexplode(F.split(content, r"\n(?:[^\S\n]*\n)+")).alias("at", "block")).withColumn("lines", F.split("block", "\n"))
-    is_time = lambda s: (F.trim(s) if trimmed else s).rlike(pattern)
+    # quantifiers that never step back: any number of blank lines is met in one loop
+    content = F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), rf"(?:\n{IN_LINE}*+)++$", "")
+    each = files.select("media", F.posexplode(F.split(content, rf"\n(?:{IN_LINE}*+\n)++")).alias("at", "block")).withColumn("lines", F.split("block", "\n"))
+    is_time = lambda s: (trimmed(s) if loose else s).rlike(pattern)
     each = each.withColumn("i", F.array_position(F.transform("lines", is_time), F.lit(True)).cast("int"))
     there = F.col("i") > 0
     return each.select(
@@ -43,11 +45,11 @@ def parse_vtt(files: DataFrame) -> DataFrame:
 
 def parse_srt(files: DataFrame) -> DataFrame:
     """As parse_vtt, for SRT and ASS lines: tags are stripped, and texts trimmed."""
-    b, line = _blocks(files, SRT_TIME, True), F.trim("line")
-    clean = F.trim(F.regexp_replace(F.array_join("text", "\n"), "<[^>]+>", ""))
+    b, line = _blocks(files, SRT_TIME, True), trimmed(F.col("line"))
+    clean = trimmed(F.regexp_replace(F.array_join("text", "\n"), "<[^>]+>", ""))
     srt = b.where("line is not null").select("media", "at", F.lit(1 << 30).alias("sub"), _time(line, SRT_TIME, 1).alias("start_ms"), _time(line, SRT_TIME, 5).alias("end_ms"), clean.alias("text"))
     ass = b.select("media", "at", F.posexplode("head").alias("sub", "line")).where(line.rlike(ASS_LINE))
-    said = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(line, ASS_LINE, 9), r"\\N", "\n"), r"\{[^}]*\}", ""))
+    said = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_extract(line, ASS_LINE, 9), r"\\N", "\n"), r"\{[^}]*\}", ""))
     ass = ass.select("media", "at", "sub", _time(line, ASS_LINE, 1, 10).alias("start_ms"), _time(line, ASS_LINE, 5, 10).alias("end_ms"), said.alias("text"))
     return srt.unionByName(ass).where("text <> ''")
 
@@ -81,6 +83,13 @@ def bilingual(original: DataFrame, translated: DataFrame) -> DataFrame:
     return both.join(bad, "media").select("media", "cue_idx", "start_ms", "end_ms", F.concat_ws("\n", "text", "t_text").alias("text"), "ok")
 
 
+def strict_srt_times(files: DataFrame) -> DataFrame:
+    """media, at, start_ms, end_ms of the lines that are a time line and nothing else but white space at their ends."""
+    lines = files.select("media", F.posexplode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")).alias("at", "line")).withColumn("line", trimmed(F.col("line")))
+    line = F.col("line")
+    return lines.where(line.rlike(SRT_STRICT)).select("media", "at", _time(line, SRT_STRICT, 1).alias("start_ms"), _time(line, SRT_STRICT, 5).alias("end_ms"))
+
+
 def count_vtt_cues(files: DataFrame) -> DataFrame:
     lines = F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")
     return files.select("media", F.size(F.filter(lines, lambda s: s.rlike(VTT_TIME))).alias("n_cues"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cueloom.functions import parsing as P
 from cueloom.functions import text as T
 from cueloom.operators import intervals, sequences
 from cueloom.plans import queue
@@ -110,7 +111,7 @@ def test_text_functions(spark):
     assert one(T.sentence_case(F.col("t")), "Hello there") == "Hello there"
     assert one(T.strip_think(F.col("t")), "a<think>x</think>b<think>c") == "ab"
     assert one(T.fnv1a(F.col("t")), "hello") == "4f9f2cab"
-    assert one(T.human_bytes(F.col("t")), "1.5MiB") == 1_572_864 and one(T.human_bytes(F.col("t")), "NA") is None
+    assert one(P.size_bytes(F.col("t")), "1.5MiB") == 1_572_864 and one(P.size_bytes(F.col("t")), "NA") is None
     assert one(T.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
 
 

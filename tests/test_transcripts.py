@@ -1,8 +1,11 @@
 """Windows, split cues, the model ladder, replies, WAV files and streams."""
 
+import itertools
 import math
 import random
+import re
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,28 +17,105 @@ from cueloom.streaming import streams
 
 
 def tokens(t):
-    return T.Estimate().add(t).tokens
+    return T.estimate(t)
 
 
 @pytest.mark.parametrize("most", [1, 3, 7, 40])
 def test_windows_cover_the_text(most):
+    def greedy(text):
+        """Unit after unit, a unit being a line or a part of one that fits."""
+        units = []
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+            while tokens(line) > most and len(line) > 1:
+                k = max([k for k in range(1, len(line) + 1) if tokens(line[:k]) <= most], default=1)
+                units.append(line[:k])
+                line = line[k:]
+            units += [line] * bool(line)
+        out = [""]
+        for u in units:
+            if out[-1] and tokens(out[-1] + u) > most:
+                out.append("")
+            out[-1] += u
+        return out
+
     rng = random.Random(most)
     for _ in range(60):
         t = "".join(rng.choice("ab \n日,") for _ in range(rng.randint(0, 120)))
         w = T.windows(t, most)
         assert "".join(w) == t and all(tokens(x) <= most or len(x) == 1 for x in w)
+        assert w == greedy(t)
 
 
 def test_estimate():
     assert tokens("") == 1 and tokens("日本語") == 3 and tokens("abcdef") == 3 and tokens("a, b") == max(math.ceil(2 / 3 + 1 + 1 / 8), 2)
 
 
-def test_split_parts():
-    assert T.split_parts("Hello there. Good day", 0, 100, [(0, 50, "A"), (50, 100, "B")]) == [("A", 0, 50, "Hello there."), ("B", 50, 100, "Good day")]
-    assert T.split_parts("ab", 0, 100, [(0, 100, "A")]) is None
-    assert T.split_parts("a", 0, 100, [(0, 50, "A"), (50, 100, "B")]) is None
-    got = T.split_parts("😀" * 10, 0, 100, [(0, 40, "A"), (60, 100, "B")])
-    assert [p[1:3] for p in got] == [(0, 50), (50, 100)] and "".join(p[3] for p in got) == "😀" * 10
+def naive_parts(text, start, end, clips):
+    """The stated rules, with plain loops over (start, end, speaker) of one cue."""
+    turns = []
+    for a, b, who in clips:
+        if turns and turns[-1][2] == who and a - turns[-1][1] <= 100:
+            turns[-1] = (turns[-1][0], max(b, turns[-1][1]), who)
+        else:
+            turns.append((a, b, who))
+    n = len(turns)
+    if n < 2 or len(text) < n:
+        return []
+    cuts, begins, ends = [0], [start], []
+    for (_, e, _), (s, _, _) in itertools.pairwise(turns):
+        if s > e:
+            s = e = math.floor((e + s) / 2 + 0.5)
+        begins.append(s)
+        ends.append(e)
+        low, high = cuts[-1] + 1, len(text) - 1
+        t = max(low, min(high, math.floor((e - start) / (end - start) * len(text) + 0.5)))
+        marks = [p for p in range(low, high + 1) if abs(p - t) <= 8 and text[p - 1] in T.MARKS]
+        cuts.append(min(marks, key=lambda p: (abs(p - t), p)) if marks else t)
+    if cuts[-1] >= len(text):
+        return []
+    cuts.append(len(text))
+    out = [(turns[i][2], begins[i], [*ends, end][i], text[cuts[i] : cuts[i + 1]].strip()) for i in range(n)]
+    out = [p for p in out if p[3]]
+    return out if len(out) > 1 else []
+
+
+def test_split_cues_and_their_lines(spark):
+    rng = random.Random(6)
+    cues, timeline = [], []
+    for m in range(60):
+        at = 0
+        for i in range(rng.randint(1, 4)):
+            n = rng.choice([400, 1000, 3000])
+            cues.append((m, i, at, at + n, "".join(rng.choice("ab .,。 日😀") for _ in range(rng.choice([1, 2, 5, 40])))))
+            at += n + rng.choice([0, 50])
+        t = pos = 0
+        while t < at:
+            n = rng.choice([80, 200, 500, 900])
+            timeline.append((m, pos, t, t + n, rng.choice("XYZ")))
+            t, pos = t + n + rng.choice([-60, 0, 0, 90, 150]), pos + 1
+    c = spark.createDataFrame(cues, "media long, cue_idx long, start_ms long, end_ms long, text string")
+    l = spark.createDataFrame(timeline, "media long, pos long, start_ms long, end_ms long, speaker string")
+    names = spark.createDataFrame([(m, "X", "Xavier") for m in range(60)], "media long, speaker string, name string")
+    want, lines = {}, {}
+    for m, i, a, b, text in cues:
+        clips = sorted((max(a, s), min(b, e), p, w) for mm, p, s, e, w in timeline if mm == m and min(b, e) > max(a, s))
+        clips = [(s, e, w) for s, e, _, w in sorted(clips, key=lambda x: (x[0], x[2]))]
+        want[m, i] = naive_parts(text, a, b, clips)
+        share, first = Counter(), {}
+        for s, e, w in clips:
+            share[w] += e - s
+        for mm, p, s, e, w in timeline:
+            if mm == m and min(b, e) > max(a, s):
+                first[w] = min(first.get(w, 1 << 30), p)
+        lead = max(share, key=lambda w: (share[w], -first[w]), default=None)
+        name = lambda w: "Xavier" if w == "X" else w
+        split = lead and share[lead] / (b - a) < 0.7 and sum(v / (b - a) >= 0.25 for v in share.values()) >= 2 and want[m, i]
+        lines[m, i] = text if sum(share.values()) / (b - a) < 0.3 else "\n".join(f"{name(w)}: {t}" for w, _, _, t in want[m, i]) if split else f"{name(lead)}: {text}"
+    got: dict = {}
+    for r in T.split_cues(c, l).orderBy("media", "cue_idx", "part").collect():
+        got.setdefault((r.media, r.cue_idx), []).append((r.speaker, r.start_ms, r.end_ms, r.text))
+    assert got == {k: v for k, v in want.items() if v} and len(got) > 20
+    assert {(r.media, r.cue_idx): r.text for r in T.speaker_lines(c, l, names).collect()} == lines
 
 
 def test_ladder():
