@@ -110,9 +110,13 @@ def safe_name(name: Column, sha: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    """n bytes in decimal units: two places from a GB, one from a KB."""
-    unit = lambda size, places, name: F.concat(F.format_string(f"%.{places}f", n / size), F.lit(f" {name}"))
-    return F.when(n >= 1e9, unit(1e9, 2, "GB")).when(n >= 1e6, unit(1e6, 1, "MB")).when(n >= 1e3, unit(1e3, 1, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    """n bytes in decimal units: two places from a GB, one from a KB; halves are rounded up."""
+
+    def unit(size: int, places: int, name: str) -> Column:
+        parts = F.floor((n + size // 10**places // 2) / (size // 10**places)).cast("long")
+        return F.concat(F.floor(parts / 10**places).cast("string"), F.lit("."), two_digits(parts % 10**places, places), F.lit(f" {name}"))
+
+    return F.when(n >= 10**9, unit(10**9, 2, "GB")).when(n >= 10**6, unit(10**6, 1, "MB")).when(n >= 10**3, unit(10**3, 1, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def duration_text(seconds: Column) -> Column:

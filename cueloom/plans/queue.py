@@ -143,3 +143,9 @@ def progress(events: DataFrame) -> DataFrame:
     """events (task, at, pct): what was shown at each, never less than before and 99 at most."""
     w = Window.partitionBy("task").orderBy("at", "pct").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("shown", F.least(F.lit(99), F.max("pct").over(w)))
+
+
+def newest(rows: DataFrame, at: str, tie: str, n: int) -> DataFrame:
+    """The n rows that come first by `at`, latest first, with their place from 1: a bounded top-n, not a sort of all."""
+    w = Window.orderBy(F.desc(at), tie)
+    return rows.orderBy(F.desc(at), tie).limit(n).withColumn("place", F.row_number().over(w).cast("long"))
