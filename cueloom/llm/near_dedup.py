@@ -32,7 +32,7 @@ MISS = 1e-8
 BASE = 1.0005
 _OFFSET = math.ceil(4 / math.log(BASE))
 #: Orders in which buckets choose their pivots: a text has about so many different ones in the buckets of a group, whatever the number of bands.
-PIVOTS = 8
+PIVOTS = 3
 #: Twice the log likelihood ratio at which a pair is set aside: over six standard deviations.
 CUT = 40.0
 
