@@ -8,6 +8,7 @@ Spark writes the rows, so its commit protocol covers lost executors and any stor
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,15 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .common import WordStore, settled
+from .common import settled
+from .words import EXACT, SPACED, STEP, KnownWords, Words, in_slices
 
 MAGIC, VERSION = b"TKPL", 1
 HEAD = struct.Struct("<4sBBHIQI")
 BLOCK_IDS = 1 << 14
 #: A file row is closed at the first document that takes it over this many ids.
 FILE_IDS = 1 << 18
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -80,7 +81,8 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 class Encoder:
     """A tokenizer of the tokenizers library that encodes each distinct run of characters between ASCII white space once.
 
-    That is exact for tokenizers whose words never hold or look across white space. New runs are
+    That is exact for tokenizers whose words never hold or look across white space; where the
+    tokenizer lowers letters itself, A-Z are lowered before, so that fewer runs differ. New runs are
     encoded together, with a mark between them whose id tells where each ends: a control character
     of one id that stands apart, or else a special token.
     """
@@ -91,39 +93,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            normalizer = json.load(f)["normalizer"] or {}
+        lowers = any(n["type"] == "Lowercase" for n in normalizer.get("normalizers", [normalizer]) if n)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = SPACED if lowers and all(t == t.lower() for t in special) else EXACT
         ids = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         if len(ids) == 1 and self.tokenizer.encode("a \x01 a", add_special_tokens=False).ids.count(ids[0]) == 1:
             self.mark_id, self.mark, self.between = ids[0], b"\x01", b" \x01 "
         else:
             self.mark_id, mark = max((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
             self.mark = self.between = mark.encode()
-        self.store = WordStore(CACHE_WORDS)
+        self.known = KnownWords(CACHE_WORDS)
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, each with end_id after it; and how many each has with it."""
-        words: list[bytes] = []
-        ends = []
-        for t in texts:
-            words += t.split()
-            ends.append(len(words))
-        store = self.store
-        numbers = store.numbers(words)
-        if store.fresh:
-            store.learn(*self._fresh(store.fresh))
-        ids, n = store.ids(numbers)
-        sums = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.array(ends, np.int64)))]
-        return np.insert(ids, sums[1:], end_id).astype(np.uint32), np.diff(sums) + 1
-
-    def _fresh(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        encode = lambda t: self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
-        plain = [w for w in words if self.mark not in w]
-        got = []
-        for at in range(0, len(plain), 64):
-            ids = np.array(encode(self.between.join([*plain[at : at + 64], b""])), np.int32)
-            got += np.split(ids, np.flatnonzero(ids == self.mark_id) + 1)[:-1]
-        rest = iter(got)
-        out = [np.array(encode(w), np.int32) if self.mark in w else next(rest)[:-1] for w in words]
-        return np.concatenate(out), np.array(list(map(len, out)), np.int32)
+        numbers = self.known.numbers(words, self._learn)
+        out, counts = [], np.zeros(len(words.hash) + 1, np.int64)
+        for at in range(0, len(numbers), STEP):
+            ids, n = self.known.ids(numbers[at : at + STEP])
+            out.append(ids)
+            counts[at + 1 : at + 1 + len(n)] = n
+        sums = np.cumsum(counts)[words.first]
+        return np.insert(np.concatenate(out) if out else np.zeros(0, np.int32), sums[1:], end_id).astype(np.uint32), np.diff(sums) + 1
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        encode = lambda t: np.array(self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int32)
+        plain, odd = [], []
+        for i, w in enumerate(words):
+            (odd if self.mark in w else plain).append(i)
+        got = [encode(self.between.join([*(words[i] for i in plain[at : at + 64]), b""])) for at in range(0, len(plain), 64)]
+        flat = np.concatenate([np.zeros(0, np.int32), *got])
+        marks = np.flatnonzero(flat == self.mark_id)
+        flat, lengths = np.delete(flat, marks), np.diff(marks, prepend=-1) - 1
+        if odd:  # a run that holds the mark itself is encoded alone
+            pieces: list = [None] * len(words)
+            for i, ids in zip(plain, np.split(flat, np.cumsum(lengths)[:-1]), strict=False):
+                pieces[i] = ids
+            for i in odd:
+                pieces[i] = encode(words[i])
+            return np.concatenate(pieces), np.array(list(map(len, pieces)), np.int32)
+        return flat, lengths.astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -157,9 +167,9 @@ def token_files(docs: DataFrame, vocab_path: str, end_id: int, bits: bool = Fals
             return row
 
         for b in batches:
-            for lo, hi in slices(b.column(1)):
-                got, n = encoder.encode([t or b"" for t in b.column(1).slice(lo, hi - lo).cast(pa.binary()).to_pylist()], end_id)
-                doc_ids += b.column(0).slice(lo, hi - lo).to_pylist()
+            for lo, words in in_slices(b.column(1), encoder.kind):
+                got, n = encoder.encode(words, end_id)
+                doc_ids += b.column(0).slice(lo, len(words)).to_pylist()
                 counts.append(n)
                 ids.append(got)
                 if sum(map(len, ids)) >= file_ids:
