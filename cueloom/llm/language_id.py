@@ -176,9 +176,12 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Crf:
     k = len(languages)
     crf = Crf(languages, np.zeros((1 << FEATURE_BITS, k), np.float32), np.zeros((k, k)), np.zeros(k))
     words, x, y = _sequences([(t, languages.index(lang)) for t, lang in texts], np.random.default_rng(seed))
-    if k < 2 or not len(x):
+    if not len(x):
         return crf
     ids, n = word_features(words)
+    if k < 2:  # nothing to tell apart, but the features of the one language's words are known
+        crf.weights[ids] = 1
+        return crf
     owner, scale = np.repeat(np.arange(len(words)), n), (1 / np.sqrt(n))[:, None]
     sums = [np.full(a.shape, 1e-8) for a in (crf.weights, crf.moves, crf.first)]
     for _ in range(STEPS):

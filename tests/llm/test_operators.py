@@ -486,3 +486,37 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 100)
     language_id.learn(docs, sample_docs=2)
     assert list(map(len, taken)) == [140, 70]
+
+
+# ---- long texts
+
+
+def test_secrets_with_very_many_matches(spark):
+    n = 40_000
+    r = secrets.scan_secrets(spark.createDataFrame([(1, "token=abcdef " * n)], "doc_id long, text string")).first()
+    assert r.n_assign == n and r.base_sha256 == hashlib.sha256(",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(n)).encode()).hexdigest()
+
+
+def test_words_of_a_text_of_50_mb():
+    text = "lorem ipsum dolor " * 2_800_000
+    ((_, w),) = words_module.in_slices(pa.array([text]), words_module.SPACED)
+    h, n = near_dedup.shingles(w, 3)
+    assert len(w.hash) == 8_400_000 and list(n) == [3] == [len(h)] and len(np.unique(w.hash)) == 3
+
+
+def test_long_texts_in_steps_give_the_same(vocab, monkeypatch):
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["ab", "cd", "ef", "gh.", "xyz", "don't", "42"]) for _ in range(3000))
+    coder, whole = bpe.Bpe(vocab("byte_bpe_50k.json")), None
+    crf = language_id.fit([(" ".join(rng.choice(w) for _ in range(60)), lang) for lang, w in (("a", ["ab", "cd"]), ("b", ["ef", "xyz"])) for _ in range(5)])
+    ((_, w),) = words_module.in_slices(pa.array([text]), words_module.SPACED)
+    for size in (1 << 20, 500):
+        for module, name in ((bpe, "PIECE"), (language_id, "PIECE"), (near_dedup, "STEP"), (decontaminate, "STEP")):
+            monkeypatch.setattr(module, name, size)
+        h, n = near_dedup.shingles(w, 3)
+        ids, counts = coder.encode([text])
+        lang, score, words_, spans = language_id.Labeller(crf).label([text], True)
+        mask, items = decontaminate.Windows([("1", " ".join(text.split()[700:712]))]).ready().hits(next(words_module.in_slices(pa.array([text]), words_module.ALNUM))[1])
+        got = h.tolist(), near_dedup.minima(h, n).tolist(), ids.tolist(), coder.decode(ids, counts), lang, [round(x, 9) for x in score], words_, spans, mask.tolist(), items
+        whole = whole or got
+        assert got == whole and got[3] == [text] and items == {0: {"1"}}

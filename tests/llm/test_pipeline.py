@@ -102,3 +102,19 @@ def test_removal_where_ids_repeat(spark):
     kept = corpus_pipeline.drop_near_copies(spark, exact, SMALL).collect()
     want = [(1, "a copy"), (2, "a text of its own"), (3, "written  twice"), (None, "no id"), (4, long), (5, "another of its own")]
     assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted(want, key=key)
+
+
+def test_odd_input(spark):
+    """Nulls, blanks, repeats, one language alone, an empty table, and columns whose names the stages use themselves."""
+    some = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en' and length(text) > 300").orderBy("doc_id").limit(3).collect()]
+    leak = duckdb.sql(f"SELECT text FROM '{SMALL}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchall()[0][0]
+    rows = [(1, None), (2, ""), (3, some[0]), (3, some[0]), (4, some[0] + " "), (None, some[1]), (5, some[2]), (5, some[2][:200]), (6, f"{some[1][:150]} {leak}")]
+    more = "__mask string, mask string, digest string, row long, key0 string, __salt int"
+    docs = spark.createDataFrame([(i, t, "en", "q", "q", "q", 1, "q", 1) for i, t in rows], f"doc_id long, text string, lang string, {more}")
+    for given in (docs, docs.limit(0)):
+        kept = given
+        for name, stage in corpus_pipeline.STAGES:
+            kept = settled(stage(spark, kept, SMALL))
+            assert name == "bpe" or kept.columns == docs.columns
+        left = sorted((r.doc_id or 0, r.n_tokens > 0) for r in kept.collect())
+        assert left == ([] if given is not docs else [(0, True), (4, True), (5, True), (5, True)])
