@@ -13,13 +13,8 @@ from .queries import query
 
 
 def _reply(texts: list[str]) -> list[str] | None:
-    """A stand-in for a model: upper case, and a wrong count for texts that hold an x, unless they are alone."""
-    return None if len(texts) > 1 and any("x" in t for t in texts) else [t.upper() for t in texts]
-
-
-def _marked(texts: list[str]) -> list[str] | None:
-    """_reply's counts with a mark before each text in place of upper case."""
-    return None if _reply(texts) is None else [f"r:{t}" for t in texts]
+    """A stand-in for a model: a mark before each text, and a wrong count for texts that hold an x, unless they are alone."""
+    return None if len(texts) > 1 and any("x" in t for t in texts) else [f"r:{t}" for t in texts]
 
 
 @query("""SELECT event_id, least(1.0, (event_id % 130) / 100) AS percent, CAST(floor((event_id % 50 + 0.5) * 1048576 + 0.5) AS BIGINT) AS bytes_total,
@@ -96,16 +91,10 @@ def list_rows(spark, d):
     return transcripts.list_rows(adapters.cues(spark, d), 2000)
 
 
-@query("SELECT media, cue_idx, text, upper(text) AS reply FROM {cues} WHERE NOT contains(text, 'ß')")
-def model_ladder(spark, d):
-    c = adapters.cues(spark, d).where(~F.contains("text", F.lit("ß")))
-    return transcripts.complete_batches(c, _reply)
-
-
 @query("SELECT media, cue_idx, text, 'r:' || text AS reply FROM {cues}")
-def model_ladder_all(spark, d):
-    """model_ladder over every cue: the reply is one that Python and DuckDB compute alike, so no text is left out and batches are of all cues."""
-    return transcripts.complete_batches(adapters.cues(spark, d), _marked)
+def model_ladder(spark, d):
+    """Over every cue: the reply is one that Python and DuckDB compute alike, so no text is left out and batches are of all cues."""
+    return transcripts.complete_batches(adapters.cues(spark, d), _reply)
 
 
 @query("""SELECT media, cue_idx, 'cue-' || lpad(CAST(row_number() OVER (PARTITION BY media ORDER BY cue_idx) AS VARCHAR), 5, '0') AS source_id, left(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 240) AS snippet FROM {cues}""")

@@ -170,19 +170,10 @@ def file_status(spark, d):
     return queue.file_status(adapters.tasks(spark, d), lib)
 
 
-@query("""SELECT coalesce(a.id, b.id) AS id, coalesce(b.status, a.status) AS status, coalesce(b.model, a.model) AS model, coalesce(a.priority, 0) AS priority
-    FROM (SELECT id, status, model, priority FROM {tasks} WHERE id % 2 = 0) a
-    FULL JOIN (SELECT id, 'queued' AS status, model FROM {tasks} WHERE id % 3 = 0) b ON a.id = b.id""")
-def upsert_merge(spark, d):
-    t = adapters.tasks(spark, d)
-    out = queue.upsert(t.where("id % 2 = 0").select("id", "status", "model", "priority"), t.where("id % 3 = 0").select("id", F.lit("queued").alias("status"), "model"), ["id"])
-    return out.withColumn("priority", F.coalesce("priority", F.lit(0)))
-
-
 @query("""SELECT coalesce(a.id, b.id) AS id, coalesce(b.status, a.status) AS status, coalesce(b.model, a.model) AS model, coalesce(a.priority, 0) AS priority FROM {tasks} a
     FULL JOIN (SELECT CASE status WHEN 'failed' THEN id ELSE -1 - id END AS id, 'queued' AS status, model FROM {tasks} WHERE status = 'failed' OR (status = 'completed' AND kind = 'transcribe')) b ON a.id = b.id""")
-def upsert_merge_all(spark, d):
-    """upsert_merge into all tasks: failed ones are queued again, and each finished transcript puts in a task that follows it (id -1 - id)."""
+def upsert_merge(spark, d):
+    """Into all tasks: failed ones are queued again, and each finished transcript puts in a task that follows it (id -1 - id)."""
     t = adapters.tasks(spark, d).select("id", "kind", "status", "model", "priority")
     rows = t.where("status = 'failed' or (status = 'completed' and kind = 'transcribe')").select(F.when(F.col("status") == "failed", F.col("id")).otherwise(-1 - F.col("id")).alias("id"), F.lit("queued").alias("status"), "model")
     return queue.upsert(t.drop("kind"), rows, ["id"]).withColumn("priority", F.coalesce("priority", F.lit(0)))
@@ -371,11 +362,13 @@ def cue_speaker_max(spark, d):
     return intervals.most_overlap(adapters.cues(spark, d), adapters.speaker_timeline(spark, d))
 
 
-_POINTS = "(SELECT media, CAST(i AS BIGINT) AS pos, i * 7777 AS at_ms FROM (SELECT DISTINCT media FROM {cues}), range(12) r(i))"
+# points on the whole timeline of each media
+_POINTS = "(SELECT media, i AS pos, i * 7777 AS at_ms FROM (SELECT media, unnest(range(0, CAST(max(end_ms) // 7777 + 1 AS BIGINT))) AS i FROM {cues} GROUP BY media))"
 
 
 def _points(spark, d):
-    return adapters.cues(spark, d).select("media").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long")))).withColumn("at_ms", F.col("pos") * 7777)
+    last = adapters.cues(spark, d).groupBy("media").agg(F.max("end_ms").alias("last_end"))
+    return last.select("media", F.explode(F.expr("sequence(0L, last_end, 7777L)")).alias("at_ms")).select("media", F.expr("at_ms div 7777").alias("pos"), "at_ms")
 
 
 @query(f"""SELECT p.media, p.pos, CASE WHEN p.at_ms < c.end_ms THEN c.cue_idx ELSE -1 END AS cue_idx FROM {_POINTS} p LEFT JOIN
@@ -401,31 +394,6 @@ def chapter_snap(spark, d):
     return intervals.snap_chapters(chapters, adapters.cues(spark, d))
 
 
-# the same three over points on the whole timeline of each media
-_ALL_POINTS = "(SELECT media, i AS pos, i * 7777 AS at_ms FROM (SELECT media, unnest(range(0, CAST(max(end_ms) // 7777 + 1 AS BIGINT))) AS i FROM {cues} GROUP BY media))"
-
-
-def _all_points(spark, d):
-    last = adapters.cues(spark, d).groupBy("media").agg(F.max("end_ms").alias("last_end"))
-    return last.select("media", F.explode(F.expr("sequence(0L, last_end, 7777L)")).alias("at_ms")).select("media", F.expr("at_ms div 7777").alias("pos"), "at_ms")
-
-
-@query(SQL["active_cue"].replace(_POINTS.replace("{cues}", adapters.SQL["cues"]), _ALL_POINTS))
-def active_cue_all(spark, d):
-    return intervals.active_cue(_all_points(spark, d), adapters.cues(spark, d))
-
-
-@query(SQL["nearest_source"].replace(_POINTS.replace("{cues}", adapters.SQL["cues"]), _ALL_POINTS))
-def nearest_source_all(spark, d):
-    return intervals.nearest_cue(_all_points(spark, d), adapters.cues(spark, d))
-
-
-@query(SQL["chapter_snap"].replace(_POINTS.replace("{cues}", adapters.SQL["cues"]), _ALL_POINTS))
-def chapter_snap_all(spark, d):
-    chapters = _all_points(spark, d).select("media", "pos", F.col("at_ms").alias("start_ms"), F.concat(F.lit("chapter "), F.col("pos").cast("string")).alias("title"))
-    return intervals.snap_chapters(chapters, adapters.cues(spark, d))
-
-
 @query("""SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2""")
 def centroids(spark, d):
     c = speakers.mean_vectors(table(spark, d, "embeddings"), "label", "embedding")

@@ -46,21 +46,11 @@ def backfill_names(spark, d):
     return state.set_if_null(v, new, "sha256", "original_name").select("sha256", "original_name")
 
 
-@query("""WITH w AS (SELECT DISTINCT video_sha AS sha256 FROM {tasks} WHERE id % 9 = 0), h AS (SELECT DISTINCT video_sha AS sha256, kind FROM {tasks} WHERE status = 'completed'),
-    s AS (SELECT w.sha256, k FROM w, unnest(['transcribe', 'translate', 'insight']) t(k))
-    SELECT s.sha256, array_to_string(list_sort(list(s.k)), ',') AS steps FROM s LEFT JOIN h ON h.sha256 = s.sha256 AND h.kind = s.k WHERE h.kind IS NULL GROUP BY 1""")
-def batch_creation(spark, d):
-    t = adapters.tasks(spark, d)
-    done = t.where("status = 'completed'").select(F.col("video_sha").alias("sha256"), F.col("kind").alias("step"))
-    items = state.create_batch(t.where("id % 9 = 0").select(F.col("video_sha").alias("sha256")), adapters.videos(spark, d), done, ["transcribe", "translate", "insight"])
-    return items.select("sha256", F.array_join(F.array_sort("steps"), ",").alias("steps"))
-
-
 @query("""WITH w AS (SELECT DISTINCT video_sha AS sha256 FROM {tasks}), h AS (SELECT DISTINCT video_sha AS sha256, kind FROM {tasks} WHERE status = 'completed'),
     s AS (SELECT w.sha256, k FROM w, unnest(['transcribe', 'translate', 'insight']) t(k))
     SELECT s.sha256, array_to_string(list_sort(list(s.k)), ',') AS steps FROM s LEFT JOIN h ON h.sha256 = s.sha256 AND h.kind = s.k WHERE h.kind IS NULL GROUP BY 1""")
-def batch_creation_all(spark, d):
-    """batch_creation for the media of all tasks."""
+def batch_creation(spark, d):
+    """For the media of all tasks."""
     t = adapters.tasks(spark, d)
     done = t.where("status = 'completed'").select(F.col("video_sha").alias("sha256"), F.col("kind").alias("step"))
     items = state.create_batch(t.select(F.col("video_sha").alias("sha256")), adapters.videos(spark, d), done, ["transcribe", "translate", "insight"])
