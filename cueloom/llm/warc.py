@@ -30,7 +30,11 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The date of page 0 where pages have no capture time of their own; page n counts as n seconds later.
 FIRST_DATE = datetime(2024, 1, 1)
-_SPAN_SECONDS = 3_000_000_000
+#: Seconds from FIRST_DATE to the end of year 9999, the last that a record's date can name; pages beyond it share that last second.
+_LAST_SECOND = int((datetime(9999, 12, 31, 23, 59, 59) - FIRST_DATE).total_seconds())
+_FIRST_SECOND = -int((FIRST_DATE - datetime(1, 1, 1)).total_seconds())
+#: Index rows of a range, which one task merges: bounds what it holds, whatever the number of captures.
+RANGE_ROWS = 100_000
 
 
 def payload_digest(payload: bytes) -> str:
@@ -51,7 +55,8 @@ def target_uri(url: str) -> str:
 
 
 def stamp(page_id: int | None) -> str:
-    return (FIRST_DATE + timedelta(seconds=(page_id or 0) % _SPAN_SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    """The date of a page, in the order of page ids; ids outside of the years 1 to 9999 have the first or last second of them."""
+    return (FIRST_DATE + timedelta(seconds=min(max(page_id or 0, _FIRST_SECOND), _LAST_SECOND))).isoformat() + "Z"
 
 
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -195,8 +200,9 @@ class LoserTree:
 def merge_indexes(index: DataFrame) -> DataFrame:
     """Index rows of sorted runs in one order by URL key, timestamp and page over all partitions.
 
-    Each partition gets one range of keys. As page and place are part of the key, a URL with any
-    number of captures is split over several. A null page sorts first.
+    Each partition gets one range of keys, of about RANGE_ROWS rows. As page and place are part of the
+    key, a URL with any number of captures is split over several. A null page sorts first. The index
+    is counted first, so it should be a written table.
     """
     names = index.columns
     at = [names.index(c) for c in ("url_key", "ts", "page_id", "run", "seq")]
@@ -219,7 +225,7 @@ def merge_indexes(index: DataFrame) -> DataFrame:
         if out:
             yield _index_rows(out)
 
-    ranges = index.repartitionByRange("url_key", "ts", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
+    ranges = index.repartitionByRange(index.count() // RANGE_ROWS + 1, "url_key", "ts", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
     return ranges.mapInArrow(merge, INDEX)
 
 

@@ -418,6 +418,17 @@ def test_warc(spark, duck):
     assert {r.page_id for r in QUERIES["op9_warc"](spark, SMALL).collect()} == {r[0] for r in rows if r[0] is not None and r[0] < 90_000}
 
 
+def test_warc_dates_keep_the_order_of_pages(spark, monkeypatch):
+    ids = [-(1 << 63), -60_000_000_000, -1, 0, 1, 2_999_999_999, 3_000_000_001, 200_000_000_000, (1 << 63) - 1]
+    stamps = [warc.stamp(i) for i in ids]
+    assert stamps == sorted(stamps) and len(set(stamps)) == len(ids) and all(len(x) == 20 for x in stamps)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 2)
+    pages = spark.createDataFrame([(i, "http://x/", f"page {i}") for i in reversed(ids)], "page_id long, url string, html string")
+    index = warc.capture_histories(pages)
+    assert index.rdd.getNumPartitions() == len(ids) // 2 + 1
+    assert [r.page_id for r in index.collect()] == ids
+
+
 def test_warc_order_of_urls_with_escapes(spark):
     urls = ["http://x/z", "http://x/é", "http://x/a b", "http://x/a!b", "http://x/{y}", "http://x/b", "http://ö.x/", "http://p.x/", None]
     pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
