@@ -102,7 +102,7 @@ def first_captures(pages: DataFrame, least: int = 0) -> DataFrame:
     first = lambda x: x.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     heavy = F.broadcast(frequent(narrow, HEAVY_K))
     hot = settled(first(narrow.join(heavy, "digest")))  # at most HEAVY_K rows
-    cold = first(narrow.join(F.broadcast(hot), "digest", "left_anti"))
+    cold = settled(first(narrow.join(F.broadcast(hot), "digest", "left_anti")))  # written, so that its measured size decides how it is joined
     both = rows.join(F.broadcast(hot), "digest").unionByName(rows.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest", "left"))
     other = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("first") != F.col("page_id")) & (F.octet_length("html") >= least)
     return both.select("page_id", "url", "html", F.when(other, F.col("first")).alias("refers_to"))
