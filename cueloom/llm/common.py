@@ -11,7 +11,7 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -102,6 +102,25 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with pos, each row's place (from 0) in its group by `order` (nulls first), and n, the size of the group; null is a group of its own.
+
+    All rows are sorted by ranges of (group, order), so that a large group lies in many tasks; where
+    its part in each task begins follows from counts. rows should be a written table, as it is sampled first.
+    """
+    keys = [*group, *order]
+    placed = settled(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()))
+    task = F.shiftright("__id", 33)
+    runs = placed.groupBy(*group, task.alias("__task")).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = settled(runs.select(*(F.col(g).alias(f"__{g}") for g in group), "__task", "__first", before.alias("__before"), F.sum("__n").over(whole).alias("n")))  # a row for each group and task
+    few = F.broadcast(runs) if runs.count() <= BROADCAST_IDS // 16 else runs
+    same = [placed[g].eqNullSafe(few[f"__{g}"]) for g in group]
+    both = placed.join(few, reduce(and_, same, task == few["__task"]))
+    return both.select(*rows.columns, (F.col("__before") + F.col("__id") - F.col("__first")).alias("pos"), "n")
+
+
 #: Ids up to this number are broadcast (a quarter of it with a digest each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,8 +15,10 @@ from .chat_format import conversation_digests, format_turns
 from .common import settled, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .merkle import document_manifest, folded, proof_digest
 from .near_dedup import near_groups
 from .secrets import scan_secrets
+from .simhash import simhash_groups
 from .token_planes import read_tokens, token_files
 from .toxicity import held_out, learn, toxicity
 from .warc import capture_histories
@@ -72,6 +75,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, crf).withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), k=3, most=3)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0) & F.col("doc_id").isNotNull()
+    text = F.when(tampered, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    proved = document_manifest(table(spark, sf_dir, "documents"), {"text": text})
+    back = proved.withColumn("folded_root", folded(F.col("received"), F.col("proof")))
+    return back.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -83,10 +98,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_simhash": op11_simhash,
+    "op13_merkle": op13_merkle,
 }
 
 
-
 def _secrets_sql() -> str:
     """Spans of each kind from the lengths of matches and of the pieces between them; then the weak kinds' complements."""
     parts = []
@@ -110,8 +126,47 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
 
+#: crc32 of decimal text in SQL: the table follows from its rule.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, crc_steps[1 + (xor(c, x) & 255)])), 4294967295)"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """From name0 (t, p, n, d: nodes of trees of n leaves): siblings name_s<i> (t, p, l, r) at each level, and name_root (t, d)."""
+    out = []
+    for i in range(levels):
+        side = lambda rows: f"coalesce(string_agg(d, '') OVER (PARTITION BY t, p // 16 ORDER BY p ROWS BETWEEN {rows}), '')"
+        out.append(f"{name}_s{i} AS (SELECT t, p, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {name}{i} WHERE n > 1)")
+        out.append(f"{name}{i + 1} AS (SELECT t, p // 16 AS p, any_value((n + 15) // 16) AS n, sha256(string_agg(d, '' ORDER BY p)) AS d FROM {name}{i} WHERE n > 1 GROUP BY t, p // 16)")
+    out.append(f"{name}_root AS (" + " UNION ALL ".join(f"SELECT t, d FROM {name}{i} WHERE n = 1" for i in range(levels + 1)) + ")")
+    return ",\n".join(out)
+
+
+def _merkle_sql(depth: int = 4, sources: int = 3) -> str:
+    """For up to 16 ** depth documents of a source and 16 ** sources sources."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    steps = [("a", i) for i in range(depth)] + [("b", i) for i in range(sources)]
+    joins = " ".join(f"LEFT JOIN {x}_s{i} ON {x}_s{i}.t IS NOT DISTINCT FROM {x}0.t AND {x}_s{i}.p = {x}0.p // {16**i}" for x, i in steps)
+    folds = ", ".join(f"CASE WHEN {x}_s{i}.l IS NULL THEN f{j} ELSE sha256({x}_s{i}.l || f{j} || {x}_s{i}.r) END AS f{j + 1}" for j, (x, i) in enumerate(steps))
+    proof = " || ".join(f"coalesce({x}_s{i}.l || {x}_s{i}.r, '')" for x, i in steps)
+    return f"""
+        WITH crc_table AS MATERIALIZED (SELECT {CRC_TABLE} AS crc_steps),
+        x AS (SELECT *, CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}') ELSE text END AS got FROM documents, crc_table),
+        a0 AS (SELECT source AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n, {leaf("text")} AS d, {leaf("got")} AS f0, doc_id FROM x),
+        {_tree_sql("a", depth)},
+        b0 AS (SELECT t AS name, 0 AS t, row_number() OVER (ORDER BY t NULLS FIRST) - 1 AS p, count(*) OVER () AS n, d FROM a_root),
+        {_tree_sql("b", sources)},
+        y AS (SELECT a0.doc_id, a0.d AS leaf, b0.d AS subroot, b_root.d AS root, sha256({proof}) AS proof_sha256, a0.f0, {folds}
+            FROM a0 JOIN b0 ON b0.name IS NOT DISTINCT FROM a0.t JOIN b_root ON true {joins})
+        SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(steps)} AS folded_root, f{len(steps)} = root AS verified FROM y"""
+
+
 SQL: dict[str, str] = {
     "op6_secrets": _secrets_sql(),
+    "op13_merkle": _merkle_sql(),
     "op2_decontaminate": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
