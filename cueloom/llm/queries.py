@@ -17,6 +17,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .merkle import document_manifest, folded, proof_digest
 from .near_dedup import near_groups
+from .repair import Repair, damaged
 from .secrets import scan_secrets
 from .simhash import simhash_groups
 from .token_planes import read_tokens, token_files
@@ -79,6 +80,16 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), k=3, most=3)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report = Repair(damaged(rows)).report()
+    asked = rows.select(F.col("conv_id").cast("long").alias("asked")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    both = asked.join(report, asked["asked"].eqNullSafe(report["conv_id"]), "left")
+    none = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts]
+    return both.select(F.col("asked").alias("conv_id"), *none, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0) & F.col("doc_id").isNotNull()
     text = F.when(tampered, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
@@ -99,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
     "op11_simhash": op11_simhash,
+    "op12_repair": op12_repair,
     "op13_merkle": op13_merkle,
 }
 
@@ -164,7 +176,41 @@ def _merkle_sql(depth: int = 4, sources: int = 3) -> str:
         SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(steps)} AS folded_root, f{len(steps)} = root AS verified FROM y"""
 
 
+def _repair_sql() -> str:
+    """Distances with label strings from each conversation's last row to its first, one recursion step a row."""
+    ws = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    to = {0: 2, 1: 2, 2: 3, 3: 2}  # where a user or assistant row leads: each state allows one of the two
+    keeps = {0: "CASE k WHEN 's' THEN b1 WHEN 'u' THEN b2 END", 1: "CASE k WHEN 'u' THEN b2 END", 2: "CASE k WHEN 'a' THEN b3 END", 3: "CASE k WHEN 'u' THEN b2 END"}
+    add = lambda cost, label, b: f"{{'c': ({b}).c + {cost}, 's': '{label}' || ({b}).s}}"
+    read = lambda s: f"list_min([{add(4, 'D', f'b{s}')}, CASE WHEN f < 2 THEN {add('3 + 3 * f', 'R', f'b{to[s]}')} END, CASE WHEN f < 2 AND ({keeps[s]}) IS NOT NULL THEN {add('3 * f', 'K', keeps[s])} END])"
+    inserted = lambda a, b: ", ".join(f"list_min([{a}{s}, {add(3, 'I', f'{a}{to[s]}')}]) AS {b}{s}" for s in range(4))
+    start = ", ".join(f"{{'c': {3 * n}::BIGINT, 's': '{'I' * n}'}} AS b{s}" for s, n in enumerate((0, 2, 1, 0)))
+    return f"""
+        WITH RECURSIVE crc_table AS MATERIALIZED (SELECT {CRC_TABLE} AS crc_steps),
+        o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate FROM conversations, crc_table),
+        d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+            CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o WHERE fate <> 0),
+        p AS (SELECT conv_id, turn, role, text, rtrim(text, {ws}) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(role || chr(10) || text), copy) AS i FROM d),
+        q AS (SELECT *, left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS k0,
+            CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM p),
+        w AS MATERIALIZED (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END AS f FROM q),
+        c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (k0 IS NOT NULL AND k0 || k NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY conv_id),
+        r AS (SELECT conv_id, n AS i, {start} FROM c
+            UNION ALL SELECT conv_id, i, {inserted("n", "b")} FROM (SELECT conv_id, i, {inserted("m", "n")} FROM (
+                SELECT r.conv_id, r.i - 1 AS i, {", ".join(f"{read(s)} AS m{s}" for s in range(4))} FROM r JOIN w ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.i = r.i))),
+        a AS (SELECT conv_id, b0.c AS cost, b0.s AS audit, length(replace(b0.s, 'D', '')) AS kept FROM r WHERE i = 0),
+        e AS (SELECT conv_id, kept, j, audit[j] AS label, length(replace(audit[:j], 'I', '')) AS i, length(replace(audit[:j], 'D', '')) AS p FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS j FROM a)),
+        t AS (SELECT e.conv_id, sha256(string_agg(CASE WHEN label = 'K' THEN w.role WHEN (p - kept % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN label = 'I' THEN '' ELSE w.text END, chr(10) ORDER BY j)) AS h
+            FROM e LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM e.conv_id AND w.i = e.i WHERE label <> 'D' GROUP BY e.conv_id)
+        SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
 SQL: dict[str, str] = {
+    "op12_repair": _repair_sql(),
     "op6_secrets": _secrets_sql(),
     "op13_merkle": _merkle_sql(),
     "op2_decontaminate": r"""
