@@ -14,8 +14,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 HEADER = StructType([StructField(c, LongType()) for c in ("format", "channels", "rate", "align", "bits", "offset", "size")])
 
 
-def header(data: bytes) -> dict | None:
-    """Format and place of the samples of a RIFF file; None where it isn't one."""
+def header(data: bytes, length: int | None = None) -> dict | None:
+    """Format and place of the samples of a RIFF file, of which data may be the first part (length: of the whole); None where it isn't one or they lie beyond data."""
+    length = len(data) if length is None else length
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return None
     at, fmt = 12, None
@@ -25,14 +26,17 @@ def header(data: bytes) -> dict | None:
             kind, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", data, at + 8)
             fmt = {"format": kind, "channels": channels, "rate": rate, "align": align, "bits": bits}
         if name == b"data":
-            return fmt and fmt | {"offset": at + 8, "size": min(size, len(data) - at - 8)}
+            return fmt and fmt | {"offset": at + 8, "size": min(size, length - at - 8)}
         at += 8 + size + size % 2
     return None
 
 
+def wav_head(size: int, h: dict) -> bytes:
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, h["format"], h["channels"], h["rate"], h["rate"] * h["align"], h["align"], h["bits"], b"data", size)
+
+
 def wav(samples: bytes, h: dict) -> bytes:
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, h["format"], h["channels"], h["rate"], h["rate"] * h["align"], h["align"], h["bits"], b"data", len(samples))
-    return head + samples
+    return wav_head(len(samples), h) + samples
 
 
 def _cut(data: bytes, h: dict, start_s: float, end_s: float) -> bytes:
