@@ -234,7 +234,7 @@ class Allocation:
         self.pieces = [pieces(p) for p in parts]
         n = max(counts[0].sum(), 1)
         tables = iter([by_distance(c / n, most) for c in counts])
-        self.tables = [[next(tables) for _ in p] for p in self.pieces]
+        self.tables = [[next(tables).astype(np.float32) for _ in p] for p in self.pieces]
         self.n = n
         self.masks = [[np.array([sum(1 << b for b in c) for c in combinations(range(len(p)), r)], np.int64) for r in range(most + 1)] for p in parts]
 
@@ -313,8 +313,9 @@ def allocated(fps: DataFrame, most: int) -> Allocation:
 # ---- links and components
 
 
-#: A bucket with more fingerprints is dense: its members aren't paired.
-DENSE = 64
+#: A bucket with more fingerprints is dense: its members aren't compared with each other. A member of a smaller one meets half of DENSE
+#: others, each a comparison of two longs in the join; one of a dense bucket makes up to 2,146 rows for midpoints.
+DENSE = 1024
 
 
 def flips(fp: Column, radius: int) -> Column:
