@@ -51,10 +51,14 @@ def error_line(stderr: Column) -> Column:
     return F.coalesce(F.when(F.size(marked) > 0, said), F.try_element_at(plain, F.lit(-1)), F.lit(""))
 
 
+#: The levels of a log.
+LEVELS = ("info", "warn", "error", "debug")
+
+
 def log_line(line: Column) -> Column:
-    """ts, level and event of a JSON log line; a line that isn't one has level unknown and itself as event."""
+    """ts, level and event of a JSON log line; any level but LEVELS is unknown, and a line that isn't JSON has itself as event."""
     j = F.from_json(line, "ts string, level string, event string")
-    return F.struct(j["ts"].alias("ts"), F.coalesce(j["level"], F.lit("unknown")).alias("level"), F.coalesce(j["event"], line).alias("event"))
+    return F.struct(j["ts"].alias("ts"), F.when(j["level"].isin(*LEVELS), j["level"]).otherwise("unknown").alias("level"), F.coalesce(j["event"], line).alias("event"))
 
 
 def string_array(reply: Column) -> Column:
@@ -100,14 +104,19 @@ def _short(s: str) -> str:
 
 
 def redacted(line: str) -> str:
-    """A log line without names, paths or content: what is kept can be joined by its hash."""
+    """A log line without names, paths or content: what is kept can be joined by its hash.
+
+    Paths in the items of a JSON array are replaced too, and in a line that is any other text, a JSON string among them.
+    """
     hide = lambda s: PATHS.sub(lambda m: f"path:{_short(m[0])}", s)
     try:
         obj = json.loads(line)
     except ValueError:
         return hide(line)
+    if isinstance(obj, list):
+        return json.dumps([hide(v) if isinstance(v, str) else v for v in obj], ensure_ascii=False, separators=(",", ":"))
     if not isinstance(obj, dict):
-        return line if not isinstance(obj, str) else json.dumps(obj, ensure_ascii=False)
+        return hide(line)
     for k, v in obj.items():
         if k not in KEPT_KEYS and isinstance(v, str) and v:
             secret = k.lower() == "cuetext" or any(p in k.lower() for p in SECRET_PARTS)
@@ -116,10 +125,15 @@ def redacted(line: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def redact(lines: pd.Series) -> pd.Series:
+def _redact(lines: pd.Series) -> pd.Series:
     return lines.map(lambda s: None if s is None else redacted(s))
 
 
+def redact(line: Column, debug: bool = False) -> Column:
+    """redacted() lines; as they are when debugging."""
+    return line if debug else _redact(line)
+
+
 def tokens_per_second(tokens: Column, ms: Column) -> Column:
     return F.when((tokens > 0) & (ms > 0), F.round(tokens / (ms / 1000), 2))
 

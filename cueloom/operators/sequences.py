@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueloom.functions.text import trimmed
+
 
 def _ordered(key: str, *by: str):
     return Window.partitionBy(key).orderBy(*by)
@@ -91,7 +93,7 @@ def remap(cues: DataFrame, pieces: DataFrame, slack_ms: int = 2000) -> DataFrame
 def hallucination(cues: DataFrame, chunk_ms: Column) -> DataFrame:
     """One row per media and its first reason of repeat, reverse-ts, density, or null."""
     w = _ordered("media", "cue_idx")
-    text = F.trim("text")
+    text = trimmed(F.col("text"))
     same = F.coalesce((text == F.lag(text, 1).over(w)) & (text == F.lag(text, 2).over(w)), F.lit(False))
     back = F.coalesce(F.col("start_ms") < F.lag("start_ms").over(w), F.lit(False))
     per = cues.select("media", same.alias("same"), back.alias("back"), "start_ms", "end_ms").groupBy("media").agg(F.bool_or("same").alias("same"), F.bool_or("back").alias("back"), F.count("*").alias("n"), chunk_ms.alias("ms"))
@@ -143,6 +145,11 @@ def tail(rows: DataFrame, n: int, *by: str) -> DataFrame:
     return rows.orderBy(*(F.desc(c) for c in by)).limit(n)
 
 
+def newest_first(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with their place in their key's list, the last one first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by))))
+
+
 def fixed_batches(rows: DataFrame, size: int, live: Column, key: str, by: str) -> DataFrame:
     """rows with their batch; a live source's last, unfilled batch waits."""
     w = _ordered(key, by)

@@ -103,7 +103,7 @@ def shortened(text: Column, most: int) -> Column:
 def partial_insight(reply: Column) -> Column:
     """summary, bullets and chapters of a model's JSON object, fenced or not, clamped; null if the reply is no object.
 
-    What has the wrong type is left out. Items are cut to the first MOST_ITEMS before blank ones go.
+    An array is an object without fields. What has the wrong type is left out. Items are cut to the first MOST_ITEMS before blank ones go.
     """
     body = trimmed(F.regexp_replace(F.regexp_replace(trimmed(reply), r"(?i)^```(?:json)?\s*", ""), r"\s*```\s*$", ""))
     body = F.when(F.startswith(trimmed(reply), F.lit("```")), body).otherwise(trimmed(reply))
@@ -117,7 +117,7 @@ def partial_insight(reply: Column) -> Column:
     numbered = lambda x: F.coalesce(kind(F.variant_get(x, "$.startMs", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL)") & start(x).isNotNull() & (trimmed(text(x, "$.title")) != ""), F.lit(False))
     chapter = lambda x: F.struct(F.greatest(F.lit(0), F.floor(start(x))).cast("long").alias("start_ms"), shortened(text(x, "$.title"), TITLE_CHARS).alias("title"), shortened(text(x, "$.description"), DESCRIPTION_CHARS).alias("description"))
     chapters = F.transform(F.slice(F.filter(items("$.chapters"), numbered), 1, MOST_ITEMS), chapter)
-    return F.when(F.startswith(kind(v), F.lit("OBJECT")), F.struct(shortened(text(v, "$.summary"), SUMMARY_CHARS).alias("summary"), bullets.alias("bullets"), chapters.alias("chapters")))
+    return F.when(kind(v).rlike("^(OBJECT|ARRAY)"), F.struct(shortened(text(v, "$.summary"), SUMMARY_CHARS).alias("summary"), bullets.alias("bullets"), chapters.alias("chapters")))
 
 
 def task_error(message: Column) -> Column:

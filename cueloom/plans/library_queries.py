@@ -61,12 +61,14 @@ def fingerprints(spark, d):
     return library.fingerprint(table(spark, d, "orders").select("o_orderkey", value.alias("v")), "v", ("policyReason",)).select("o_orderkey", "fingerprint")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE 'About ' || event_type END AS summary, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 0 THEN 'b0,b1,b2,b3' ELSE repeat('x', 217) || '...' END AS bullets,
-        CASE WHEN event_id % 4 <> 3 THEN 'One:' || CAST(event_id AS VARCHAR) || ',Two:0' END AS chapters FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 8 = 7 THEN NULL WHEN event_id % 8 = 3 THEN '' ELSE 'About ' || event_type END AS summary,
+        CASE WHEN event_id % 8 = 7 THEN NULL WHEN event_id % 8 = 3 THEN '' WHEN event_id % 4 = 0 THEN 'b0,b1,b2,b3' ELSE repeat('x', 217) || '...' END AS bullets,
+        CASE WHEN event_id % 8 = 7 THEN NULL WHEN event_id % 8 = 3 THEN '' ELSE 'One:' || CAST(event_id AS VARCHAR) || ',Two:0' END AS chapters FROM events""")
 def partial_insights(spark, d):
     bullets = F.when(F.col("event_id") % 4 == 0, '["b0", "b1", 5, " b2 ", "", "b3", "b4"]').otherwise('["' + "x" * 300 + '"]')
     body = F.concat(F.lit('{"summary": " About\\n '), F.col("event_type"), F.lit('", "summaryBullets": '), bullets, F.lit(', "chapters": [{"startMs": '), F.col("event_id").cast("string"), F.lit('.75, "title": "One"}, {"startMs": "1", "title": "no"}, {"startMs": 3, "title": " "}, {"startMs": -3, "title": "Two", "description": 4}]}'))
-    raw = F.when(F.col("event_id") % 4 == 3, F.lit('["no object"]')).when(F.col("event_id") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    array = F.concat(F.lit('["'), F.col("event_type"), F.lit('"]'))
+    raw = F.when(F.col("event_id") % 8 == 3, array).when(F.col("event_id") % 8 == 7, F.col("event_type")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     x = table(spark, d, "events").select("event_id", library.partial_insight(raw).alias("p"))
     chapters = F.transform("p.chapters", lambda c: F.concat(c["title"], F.lit(":"), c["start_ms"].cast("string")))
     return x.select("event_id", "p.summary", F.array_join("p.bullets", ",").alias("bullets"), F.array_join(chapters, ",").alias("chapters"))

@@ -34,17 +34,26 @@ def error_lines(spark, d):
     return e.select("event_id", P.error_line(text).alias("error"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE event_type END AS level, CASE WHEN event_id % 5 = 0 THEN 'not json' ELSE 'e' || CAST(user_id AS VARCHAR) END AS event FROM events""")
+@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place,
+    CASE event_id % 6 WHEN 1 THEN 'info' WHEN 2 THEN 'warn' WHEN 3 THEN 'error' WHEN 4 THEN 'debug' WHEN 5 THEN CASE WHEN event_type IN ('info', 'warn', 'error', 'debug') THEN event_type ELSE 'unknown' END ELSE 'unknown' END AS level,
+    CASE WHEN event_id % 6 = 0 THEN event_type || ' at ' || CAST(user_id AS VARCHAR) ELSE event_type END AS event FROM events""")
 def log_lines(spark, d):
-    e, i = table(spark, d, "events"), F.col("event_id")
-    line = F.when(i % 5 == 0, F.lit("not json")).otherwise(F.to_json(F.struct(F.col("event_type").alias("level"), F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("event"))))
-    return e.select("event_id", P.log_line(line).alias("l")).select("event_id", "l.level", "l.event")
+    """A log for each user, its last line first."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    level = F.when(i % 6 == 5, kind).otherwise(F.element_at(F.array(*map(F.lit, P.LEVELS)), F.greatest(F.lit(1), i % 6).cast("int")))
+    line = F.when(i % 6 == 0, F.concat(kind, F.lit(" at "), F.col("user_id").cast("string"))).otherwise(F.to_json(F.struct(level.alias("level"), kind.alias("event"))))
+    lines = table(spark, d, "events").select("user_id", "event_id", P.log_line(line).alias("l"))
+    return sequences.newest_first(lines, "user_id", "event_id").select("user_id", "event_id", "place", "l.level", "l.event")
 
 
-@query("""SELECT event_id, '{"event":"' || event_type || '","fileName":"hash:' || left(sha256('f' || CAST(user_id AS VARCHAR)), 12) || '","note":"at path:' || left(sha256('/home/u/' || CAST(user_id AS VARCHAR)), 12) || ' ok"}' AS line FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 2 THEN '["path:' || left(sha256('/Users/u' || CAST(user_id AS VARCHAR) || '/a.mp4'), 12) || '",1,"' || event_type || '"]'
+    WHEN 3 THEN '"path:' || left(sha256('/Users/u' || CAST(user_id AS VARCHAR) || '/a.mp4'), 12) || '"' ELSE '{"event":"' || event_type || '","fileName":"hash:' || left(sha256('f' || CAST(user_id AS VARCHAR)), 12) || '","note":"at path:' || left(sha256('/home/u/' || CAST(user_id AS VARCHAR)), 12) || ' ok"}' END AS line FROM events""")
 def log_redact(spark, d):
-    u = F.col("user_id").cast("string")
-    line = F.to_json(F.struct(F.col("event_type").alias("event"), F.concat(F.lit("f"), u).alias("fileName"), F.concat(F.lit("at /home/u/"), u, F.lit(" ok")).alias("note")))
+    """Lines that are JSON objects, arrays and strings."""
+    u, i = F.col("user_id").cast("string"), F.col("event_id")
+    file = F.concat(F.lit('"/Users/u'), u, F.lit('/a.mp4"'))
+    line = F.when(i % 4 == 2, F.concat(F.lit("["), file, F.lit(', 1, "'), F.col("event_type"), F.lit('"]'))).when(i % 4 == 3, file)
+    line = line.otherwise(F.to_json(F.struct(F.col("event_type").alias("event"), F.concat(F.lit("f"), u).alias("fileName"), F.concat(F.lit("at /home/u/"), u, F.lit(" ok")).alias("note"))))
     return table(spark, d, "events").select("event_id", P.redact(line).alias("line"))
 
 

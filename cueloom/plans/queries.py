@@ -89,9 +89,9 @@ def batch_jobs_list(spark, d):
     return jobs.join(per, "batch_id", "left").na.fill(0, ["items", "transcribed_items"])
 
 
-@query("""SELECT sha256(CAST(c_custkey AS VARCHAR)) AS video_sha, list_sort(list(DISTINCT o_orderpriority[3:])) AS all_langs,
+@query("""SELECT sha256(CAST(c_custkey AS VARCHAR)) AS video_sha,
     array_to_string(list_sort(list_filter(list(DISTINCT o_orderpriority[3:]), lambda x: x <> 'LOW')), ',') AS langs, bool_or(o_orderpriority[3:] = 'LOW') AS polished
-    FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""".replace("list_sort(list(DISTINCT o_orderpriority[3:])) AS all_langs,", ""))
+    FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
 def library_langs(spark, d):
     o = table(spark, d, "orders").select(adapters.sha_of("o_custkey").alias("video_sha"), F.substring("o_orderpriority", 3, 100).alias("lang"))
     per = o.groupBy("video_sha").agg(F.array_sort(F.collect_set("lang")).alias("all"))
@@ -266,15 +266,15 @@ def remapped_cues(spark, d):
     return sequences.remap(cues.withColumn("start_ms", F.col("cue_idx") * 70).withColumn("end_ms", F.col("cue_idx") * 70 + 90), pieces)
 
 
-_RISKY = """(SELECT media, cue_idx, CASE WHEN media % 7 = 0 AND cue_idx % 5 = 2 THEN start_ms - 500000 ELSE start_ms END AS start_ms, end_ms, CASE WHEN media % 5 = 0 AND cue_idx < 3 THEN 'again ' ELSE text END AS text FROM {cues})"""
+_RISKY = """(SELECT media, cue_idx, CASE WHEN media % 7 = 0 AND cue_idx % 5 = 2 THEN start_ms - 500000 ELSE start_ms END AS start_ms, end_ms, CASE WHEN media % 5 = 0 AND cue_idx < 3 THEN ' again' || ['', chr(9), chr(10)][cue_idx + 1] ELSE text END AS text FROM {cues})"""
 
 
-@query("""SELECT media, CASE WHEN bool_or(coalesce(trim(text) = trim(t1) AND trim(text) = trim(t2), false)) THEN 'repeat' WHEN bool_or(coalesce(start_ms < s1, false)) THEN 'reverse-ts'
-    WHEN max(end_ms) - min(start_ms) >= 10000 AND count(*) / ((max(end_ms) - min(start_ms)) / 1000) > 0.05 THEN 'density' END AS reason FROM
-    (SELECT *, lag(text, 1) OVER w AS t1, lag(text, 2) OVER w AS t2, lag(start_ms) OVER w AS s1 FROM {risky} WINDOW w AS (PARTITION BY media ORDER BY cue_idx)) GROUP BY media""".replace("{risky}", _RISKY).replace("> 0.05", "> 1.5"))
+@query("""SELECT media, CASE WHEN bool_or(coalesce(trim(text, chr(32) || chr(9) || chr(10)) = trim(t1, chr(32) || chr(9) || chr(10)) AND trim(text, chr(32) || chr(9) || chr(10)) = trim(t2, chr(32) || chr(9) || chr(10)), false)) THEN 'repeat' WHEN bool_or(coalesce(start_ms < s1, false)) THEN 'reverse-ts'
+    WHEN max(end_ms) - min(start_ms) >= 10000 AND count(*) / ((max(end_ms) - min(start_ms)) / 1000) > 1.5 THEN 'density' END AS reason FROM
+    (SELECT *, lag(text, 1) OVER w AS t1, lag(text, 2) OVER w AS t2, lag(start_ms) OVER w AS s1 FROM {risky} WINDOW w AS (PARTITION BY media ORDER BY cue_idx)) GROUP BY media""".replace("{risky}", _RISKY))
 def hallucination(spark, d):
     c, m, i = adapters.cues(spark, d), F.col("media"), F.col("cue_idx")
-    risky = c.withColumn("start_ms", F.when((m % 7 == 0) & (i % 5 == 2), F.col("start_ms") - 500_000).otherwise(F.col("start_ms"))).withColumn("text", F.when((m % 5 == 0) & (i < 3), "again ").otherwise(F.col("text")))
+    risky = c.withColumn("start_ms", F.when((m % 7 == 0) & (i % 5 == 2), F.col("start_ms") - 500_000).otherwise(F.col("start_ms"))).withColumn("text", F.when((m % 5 == 0) & (i < 3), F.concat(F.lit(" again"), F.get(F.array(F.lit(""), F.lit("\t"), F.lit("\n")), i.cast("int")))).otherwise(F.col("text")))
     return sequences.hallucination(risky, F.max("end_ms") - F.min("start_ms"))
 
 
@@ -490,8 +490,8 @@ def srt_roundtrip(spark, d):
     return subtitles.parse_srt(subtitles.to_srt(adapters.cues(spark, d))).select("media", "start_ms", "end_ms", "text")
 
 
-@query("""SELECT c.media, c.cue_idx, c.start_ms, c.end_ms, c.text || chr(10) || '> ' || c.text AS text, c.media % 3 <> 0 OR n = 1 AND false AS ok
-    FROM {cues} c JOIN (SELECT media, count(*) AS n FROM {cues} GROUP BY 1) k ON k.media = c.media""".replace(" OR n = 1 AND false", ""))
+@query("""SELECT c.media, c.cue_idx, c.start_ms, c.end_ms, c.text || chr(10) || '> ' || c.text AS text, c.media % 3 <> 0 AS ok
+    FROM {cues} c JOIN (SELECT media, count(*) AS n FROM {cues} GROUP BY 1) k ON k.media = c.media""")
 def bilingual(spark, d):
     c = adapters.cues(spark, d)
     other = c.withColumn("text", F.concat(F.lit("> "), F.col("text"))).withColumn("end_ms", F.when(F.col("media") % 3 == 0, F.col("end_ms") + 1).otherwise(F.col("end_ms")))

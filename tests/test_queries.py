@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
+import cueloom.plans.bundle_queries  # noqa: F401
 import cueloom.plans.library_queries  # noqa: F401
+import cueloom.plans.media_queries  # noqa: F401
 import cueloom.plans.more_queries  # noqa: F401
 import cueloom.plans.state_queries  # noqa: F401
 from cueloom.plans.queries import QUERIES, SQL

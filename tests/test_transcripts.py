@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import parsing as P
+from cueloom.operators import sequences
 from cueloom.operators import transcripts as T
+from cueloom.plans import library
 from cueloom.sources import audio
 from cueloom.streaming import streams
 
@@ -118,6 +120,35 @@ def test_split_cues_and_their_lines(spark):
     assert {(r.media, r.cue_idx): r.text for r in T.speaker_lines(c, l, names).collect()} == lines
 
 
+def test_turns_that_begin_with_the_cue_keep_the_timelines_order(spark):
+    cue = spark.createDataFrame([(1, 0, 100, 200, "abcdefghij")], "media long, cue_idx long, start_ms long, end_ms long, text string")
+    line = spark.createDataFrame([(1, 0, 0, 160, "A"), (1, 1, 90, 140, "B")], "media long, pos long, start_ms long, end_ms long, speaker string")
+    assert [(r.speaker, r.text) for r in T.split_cues(cue, line).orderBy("part").collect()] == [("A", "abcdef"), ("B", "ghij")]
+
+
+def test_repeats_and_snippets_ignore_white_space_of_any_kind(spark):
+    cues = spark.createDataFrame([(m, i, 1000 * i, 1000 * i + 900, t) for m, texts in enumerate((("a", "a\t", "\na"), ("a", "b\t", "\na"))) for i, t in enumerate(texts)], "media long, cue_idx long, start_ms long, end_ms long, text string")
+    assert {r.media: r.reason for r in sequences.hallucination(cues, F.lit(60_000)).collect()} == {0: "repeat", 1: None}
+    assert {r.snippet for r in T.sources(cues).collect()} == {"a", "b"}
+
+
+def test_log_lines_and_redaction(spark):
+    one = lambda c, x: spark.createDataFrame([(x,)], "t string").select(c(F.col("t")).alias("x")).first()["x"]
+    assert [one(P.log_line, f'{{"level":"{l}","event":"e"}}').level for l in ("info", "warn", "error", "debug", "fatal", "INFO")] == ["info", "warn", "error", "debug", "unknown", "unknown"]
+    assert tuple(one(P.log_line, "plain")) == (None, "unknown", "plain") and one(P.log_line, '{"event":"e"}').level == "unknown"
+    for line in ('["/Users/me/secret.mp4", 1, {"a": null}]', '"/Users/me/secret.mp4"', '{"msg":"/Users/me/secret.mp4"}', "at /Users/me/secret.mp4"):
+        assert "secret" not in one(P.redact, line) and "path:" in one(P.redact, line)
+        assert one(lambda c: P.redact(c, debug=True), line) == line
+    assert [P.redacted(x) for x in ("5", "null", '""', "[]")] == ["5", "null", '""', "[]"]
+    assert one(P.redact, None) is None
+
+
+def test_partial_insight_of_an_array_is_an_empty_one(spark):
+    one = lambda x: spark.createDataFrame([(x,)], "t string").select(library.partial_insight(F.col("t")).alias("x")).first()["x"]
+    assert tuple(one('["a"]')) == ("", [], []) and tuple(one("```json\n[]\n```")) == ("", [], [])
+    assert [one(x) for x in ('"a"', "1", "null", "no", "", None)] == [None] * 6
+
+
 def test_ladder():
     calls = []
 
