@@ -221,18 +221,22 @@ def _pairs(e: np.ndarray, crf: Crf) -> np.ndarray:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Crf:
-    """A field fitted to whole texts of at most sample_docs documents of each language, none over sample_chars characters, SAMPLE_TOTAL_CHARS in all.
+    """A field fitted to at most sample_docs documents of each language, sample_chars characters of each, SAMPLE_TOTAL_CHARS in all.
 
     Rows with null text or language teach nothing. Every language is learned: where there are more than
     SAMPLE_TOTAL / sample_docs of them, each by an equal share of SAMPLE_TOTAL, and by one text at least.
+    Texts of at most sample_chars characters come first; a longer one, where these are too few, teaches by
+    a piece of that length from a place that its doc_id chooses.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null").where(F.length("text") <= sample_chars)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null").withColumn("long", F.length("text") > sample_chars)
     languages = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
     each = max(1, min(sample_docs, SAMPLE_TOTAL // max(1, len(languages))))
-    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("lang", "doc_id").withColumn("at", at).where(F.col("at") <= each).select("lang", "doc_id").distinct()  # at most `each` rows a language
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+    ids = rows.select("lang", "doc_id", "long").withColumn("at", at).where(F.col("at") <= each).select("lang", "doc_id").distinct()  # at most `each` rows a language
     taken = rows.join(F.broadcast(ids), rows["lang"].eqNullSafe(ids["lang"]) & rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    piece = F.substring("text", F.pmod(F.xxhash64("doc_id"), F.length("text") - sample_chars + 1).cast("int") + 1, F.lit(sample_chars))
+    taken = taken.withColumn("text", F.when(F.col("long"), piece).otherwise(F.col("text")))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text")
     taken = taken.withColumn("at", F.row_number().over(order)).where(F.col("at") <= each).withColumn("chars", F.sum(F.length("text")).over(order))
     taken = taken.where((F.col("at") == 1) | (F.col("chars") <= SAMPLE_TOTAL_CHARS // max(1, len(languages))))
     place = {lang: i for i, lang in enumerate(languages)}

@@ -118,3 +118,13 @@ def test_odd_input(spark):
             assert name == "bpe" or kept.columns == docs.columns
         left = sorted((r.doc_id or 0, r.n_tokens > 0) for r in kept.collect())
         assert left == ([] if given is not docs else [(0, True), (4, True), (5, True), (5, True)])
+
+
+def test_a_corpus_of_long_texts_alone_is_kept(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    by_lang = docs.where("lang is not null and text is not null").groupBy("lang").agg({"text": "collect_list"}).toDF("lang", "texts").collect()
+    made = [(i, ("\n".join(r.texts) + "\n") * (1 + 60_000 // len("\n".join(r.texts))), r.lang) for i, r in enumerate(by_lang)]
+    long = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    assert all(len(t) > language_id.SAMPLE_CHARS for _, t, _ in made)
+    assert sorted(language_id.learn(long).languages) == sorted(r.lang for r in by_lang)
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, long, SMALL).collect()} == {i for i, _, _ in made}
