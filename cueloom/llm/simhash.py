@@ -119,8 +119,6 @@ def simhash(words: Words, k: int = 3) -> np.ndarray:
     return np.packbits(sets, axis=1, bitorder="little").view("<u8").ravel()
 
 
-
-
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """doc_id and fp, the fingerprint of its text as a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -328,11 +326,11 @@ def _close(a: str, b: str, most: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
 
-def _dense_links(dense: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """Links (a, b) between the members (key, fp) of dense buckets, besides `links`: enough of them for the same components as all."""
+def _dense_components(dense: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(id, comp of `links` and of the links with pivots; links (a, b) between these components), for the members (key, fp) of dense buckets."""
     pivots = dense.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp"), "fp"))["fp"].alias("pivot"))
     star = settled(dense.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & _close("fp", "pivot", most)).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
-    comp = components(links.unionByName(star))
+    comp = settled(components(links.unionByName(star)))
     placed = settled(dense.join(comp.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("comps"))
     open_ = settled(placed.join(sizes.where("comps > 1"), "key").groupBy("fp", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor")))
@@ -343,7 +341,8 @@ def _dense_links(dense: DataFrame, links: DataFrame, most: int) -> DataFrame:
     two = dealt.where("minor").select("fp", "comp", F.explode(flips(F.col("fp"), hi)).alias("v"))
     anchor = one.groupBy("v").agg(F.min(F.struct("fp", "comp")).alias("at"))
     met = one.unionByName(two).join(anchor, "v").where(F.col("comp") != F.col("at.comp"))
-    return star.unionByName(settled(met.select(F.col("fp").alias("a"), F.col("at.fp").alias("b")).distinct()))
+    crossing = settled(met.select(F.col("comp").alias("a"), F.col("at.comp").alias("b")).distinct())
+    return comp, crossing
 
 
 def fingerprint_components(fps: DataFrame, most: int, dense_from: int = DENSE) -> DataFrame:
@@ -366,7 +365,10 @@ def fingerprint_components(fps: DataFrame, most: int, dense_from: int = DENSE) -
     links = settled(probes.join(index, "key").where((F.col("a") > F.col("b")) & _close("a", "b", most)).select("a", "b").distinct())
     if some:
         dense = settled(rows.join(listed, "key", "left_semi").select("key", "fp").distinct())
-        links = links.unionByName(_dense_links(dense, links, most))
+        comp, crossing = _dense_components(dense, links, most)
+        if crossing.isEmpty():
+            return comp
+        links = comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(crossing)
     return components(links)
 
 
