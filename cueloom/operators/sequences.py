@@ -6,8 +6,13 @@ once; operators that follow one another on the same key share the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from cueloom.functions.text import trimmed
 
@@ -58,20 +63,36 @@ def plan_by_duration(media: DataFrame, cap_s: int = 30) -> DataFrame:
 def pack(segments: DataFrame, cap_ms: int = 30_000) -> DataFrame:
     """Greedy packing in order: a chunk is closed when the next piece would take it over the cap.
 
-    The fold runs over each media's pieces in one array; a row per piece comes back with its chunk
-    and its offset there.
+    Pieces are streamed by medium and start; from one batch to the next only the open chunk and its length are
+    carried. Inside a batch a chunk's last piece is found in the running lengths by bisection, so time is linear
+    in pieces and memory is that of a batch, even where one medium has all of them.
     """
-    pieces = split_at_cap(segments, cap_ms)
-    each = pieces.groupBy("media").agg(F.array_sort(F.collect_list(F.struct("start_ms", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms")))).alias("p"))
-    zero = F.expr("named_struct('chunk', 0, 'used', 0L, 'out', cast(array() as array<struct<chunk:int,req_start_ms:bigint,abs_start_ms:bigint,dur_ms:bigint>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + x["dur_ms"] > cap_ms)
-        chunk, at = acc["chunk"] + full.cast("int"), F.when(full, 0).otherwise(acc["used"])
-        piece = F.struct(chunk.alias("chunk"), at.cast("long").alias("req_start_ms"), x["start_ms"].alias("abs_start_ms"), x["dur_ms"].alias("dur_ms"))
-        return F.struct(chunk.alias("chunk"), (at + x["dur_ms"]).cast("long").alias("used"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    return each.select("media", F.explode(F.aggregate("p", zero, step)["out"]).alias("x")).select("media", "x.*")
+    pieces = split_at_cap(segments, cap_ms).select("media", "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"))
+    schema = StructType([pieces.schema["media"], *(StructField(n, t) for n, t in (("chunk", IntegerType()), ("req_start_ms", LongType()), ("abs_start_ms", LongType()), ("dur_ms", LongType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        medium, chunk, used, begun = None, 0, 0, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            media, dur = b.column("media"), b.column("dur_ms").to_numpy()
+            codes = media.dictionary_encode("encode").indices.to_numpy()
+            borders = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            total = np.concatenate(([0], np.cumsum(dur)))
+            chunks, at = np.empty(len(dur), np.int32), np.empty(len(dur), np.int64)
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                if not begun or media[lo].as_py() != medium:
+                    medium, chunk, used, begun = media[lo].as_py(), 0, 0, True
+                while lo < hi:
+                    end = int(np.searchsorted(total[: hi + 1], total[lo] + cap_ms - used, "right")) - 1
+                    if end <= lo:  # the next piece doesn't fit
+                        chunk, used = chunk + 1, 0
+                        continue
+                    chunks[lo:end], at[lo:end] = chunk, used + total[lo:end] - total[lo]
+                    used, lo = used + int(total[end] - total[lo]), end
+            yield pa.RecordBatch.from_arrays([media, pa.array(chunks), pa.array(at), b.column("start_ms"), b.column("dur_ms")], names=schema.names)
+
+    return pieces.repartition("media").sortWithinPartitions("media", "start_ms", "dur_ms").mapInArrow(run, schema)
 
 
 def remap(cues: DataFrame, pieces: DataFrame, slack_ms: int = 2000) -> DataFrame:

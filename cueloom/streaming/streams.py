@@ -1,6 +1,6 @@
 """Structured Streaming forms of the incremental operators, with batch twins elsewhere.
 
-- new_chunks: rows past a high-water mark (a cursor poll), as a streaming filter.
+- cursor: rows past a high-water mark for each task (a cursor poll), each once, whether replayed or live.
 - full_batches: count-triggered batches of a fixed size; the rest waits in state until the source ends.
 - think_filter: text deltas without think blocks, where a marker may be cut by a chunk boundary.
 """
@@ -11,14 +11,63 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OPEN, CLOSE = "<think>", "</think>"
-
-
-def new_chunks(chunks: DataFrame, after: int) -> DataFrame:
-    """Replay and live rows alike, each chunk once and only past `after`."""
-    return chunks.where(chunks["chunk_idx"] > after).dropDuplicates(["task_id", "chunk_idx"])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Cursor(StatefulProcessor):
+    """What a task has delivered: all up to `mark`, and the chunks in `beyond`, those that came before one that is still out."""
+
+    def __init__(self, after: int, idle_ms: int | None, columns: list[str]):
+        self.after, self.idle_ms, self.columns = after, idle_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", "mark long, due long")
+        self.beyond = handle.getMapState("beyond", "idx long", "there boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark, due = self.mark.get() if self.mark.exists() else (self.after, 0)
+        for f in rows:
+            f = f.drop_duplicates("chunk_idx")
+            fresh = [i is not None and i == i and i > mark and not self.beyond.containsKey((int(i),)) for i in f["chunk_idx"]]
+            f = f[fresh].sort_values("chunk_idx")
+            for i in f["chunk_idx"].astype(int):
+                self.beyond.updateValue((int(i),), (True,))
+            while self.beyond.containsKey((mark + 1,)):
+                mark += 1
+                self.beyond.removeKey((mark,))
+            if len(f):
+                yield f[self.columns]
+        if self.idle_ms is not None:
+            if due:
+                self.handle.deleteTimer(due)
+            due = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(due)
+        self.mark.update((mark, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.mark.clear()
+        self.beyond.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def cursor(chunks: DataFrame, after: int = -1, idle_ms: int | None = None) -> DataFrame:
+    """chunks (task_id, chunk_idx, ...), replayed and live ones alike: each past `after` once, those of one Arrow batch in order.
+
+    Chunks are numbered from after + 1. A task's state is one number and the chunks beyond the first that is missing, so it
+    stays small where chunks come in order; a late chunk still comes out, a repeated one doesn't. A chunk without a
+    number is dropped. With idle_ms a task's state goes once nothing came for so long: a chunk repeated later than that comes
+    out again. Needs the RocksDB state store, which it sets for the session.
+    """
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return chunks.groupBy("task_id").transformWithStateInPandas(Cursor(after, idle_ms, chunks.columns), chunks.schema, "append", "None" if idle_ms is None else "ProcessingTime")
 
 
 def full_batches(cues: DataFrame, size: int = 25) -> DataFrame:

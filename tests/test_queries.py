@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import cueloom.plans.bundle_queries  # noqa: F401
+import cueloom.plans.insight_queries  # noqa: F401
 import cueloom.plans.library_queries  # noqa: F401
 import cueloom.plans.media_queries  # noqa: F401
 import cueloom.plans.more_queries  # noqa: F401
