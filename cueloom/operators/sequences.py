@@ -1,7 +1,7 @@
 """Sequence operators over ordered rows of each media: segmentation, merging, gaps, packing, quality.
 
-Each takes the name of the partition column, so that media are dealt over the cluster and sorted
-once; operators that follow one another on the same key share the shuffle.
+Segmentation, gaps and groups are scanned in blocks of a medium, packing is streamed; the others deal whole media over the
+cluster and sort them once, and share the shuffle where they follow one another.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from cueloom.functions.text import trimmed
+from cueloom.operators import blocks
 
 
 def _ordered(key: str, *by: str):
@@ -30,22 +31,33 @@ def islands(df: DataFrame, change: Column, name: str, key: str, *by: str) -> Dat
     return df.withColumn(name, F.sum(F.coalesce(change, F.lit(True)).cast("int")).over(_running(key, *by)))
 
 
-def hysteresis(frames: DataFrame, enter: float = 0.5, leave: float = 0.35, frame_ms: int = 30) -> DataFrame:
-    """Runs that open at p >= enter and close at p < leave; one that is open at the end closes there."""
+#: Frames, cues and milliseconds of a block: what one task scans of one medium.
+BLOCK_ROWS, BLOCK_MS = 65_536, 3_600_000
+
+
+def hysteresis(frames: DataFrame, enter: float = 0.5, leave: float = 0.35, frame_ms: int = 30, block: int = BLOCK_ROWS) -> DataFrame:
+    """Runs that open at p >= enter and close at p < leave; one that is open at the end closes there. Scanned by blocks of frames."""
     if enter < leave:
         raise ValueError("enter must not be under leave")
-    state = F.last(F.when(F.col("p") >= enter, 1).when(F.col("p") < leave, 0), ignorenulls=True).over(_running("media", "frame_idx"))
-    on = frames.withColumn("on", F.coalesce(state, F.lit(0)))
-    on = islands(on, F.col("on") != F.lag("on").over(_ordered("media", "frame_idx")), "run", "media", "frame_idx").where("on = 1")
-    spans = on.groupBy("media", "run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
+    state = F.when(F.col("p") >= enter, 1).when(F.col("p") < leave, 0)
+    x = blocks.with_entries(frames.select("media", "frame_idx", state.alias("on")), "media", "frame_idx", block, "on", skip_nulls=True)
+    w = blocks.in_block("media", "frame_idx")
+    x = x.withColumn("on", F.coalesce(F.last("on", ignorenulls=True).over(w), F.lit(0)))
+    x = x.withColumn("run", F.sum(F.coalesce((F.col("on") != F.lag("on").over(w)).cast("int"), F.lit(0))).over(w))
+    spans = x.where("on = 1 AND NOT entry").groupBy("media", "block", "run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
+    spans = blocks.stitched(spans.withColumn("joined", F.col("run") == 0), "media", "a", "b")
     return spans.select("media", (F.col("a") * frame_ms).alias("start_ms"), ((F.col("b") + 1) * frame_ms).alias("end_ms"))
 
 
-def merge_gaps(segments: DataFrame, gap_ms: int = 500, least_ms: int = 250) -> DataFrame:
-    """Neighbours nearer than gap_ms become one; then what is shorter than least_ms goes."""
-    far = F.col("start_ms") - F.lag("end_ms").over(_ordered("media", "start_ms")) >= gap_ms
-    one = islands(segments, far, "run", "media", "start_ms").groupBy("media", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    return one.where(F.col("end_ms") - F.col("start_ms") >= least_ms).drop("run")
+def merge_gaps(segments: DataFrame, gap_ms: int = 500, least_ms: int = 250, block_ms: int = BLOCK_MS) -> DataFrame:
+    """Neighbours nearer than gap_ms become one; then what is shorter than least_ms goes. Scanned by blocks of time."""
+    x = blocks.with_entries(segments.select("media", "start_ms", "end_ms"), "media", "start_ms", block_ms, "end_ms")
+    w = blocks.in_block("media", "start_ms")
+    far = ~F.col("entry") & F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w) >= gap_ms, F.lit(True))
+    runs = x.withColumn("far", far).withColumn("run", F.sum(F.col("far").cast("int")).over(w))
+    runs = runs.where("NOT entry").groupBy("media", "block", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    one = blocks.stitched(runs.withColumn("joined", F.col("run") == 0), "media", "start_ms", "end_ms")
+    return one.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 
 def split_at_cap(segments: DataFrame, cap_ms: int = 30_000) -> DataFrame:
@@ -128,9 +140,10 @@ def accept_attempt(attempts: DataFrame) -> DataFrame:
     return per.select("key", F.coalesce("ok", F.lit(0)).alias("attempt"), F.when(F.col("ok").isNull(), "suspect").otherwise("ok").alias("quality"), F.coalesce("ok", F.lit(2)).alias("retry_count"))
 
 
-def silent_gaps(cues: DataFrame, least_ms: int) -> DataFrame:
-    before = F.lag("end_ms").over(_ordered("media", "cue_idx"))
-    gaps = cues.select("media", "cue_idx", before.alias("start_ms"), F.col("start_ms").alias("end_ms"))
+def silent_gaps(cues: DataFrame, least_ms: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """media, cue_idx, start_ms, end_ms of the silence before a cue, least_ms or more. Scanned by blocks of cues."""
+    x = blocks.with_entries(cues.select("media", "cue_idx", "start_ms", "end_ms"), "media", "cue_idx", block, "end_ms")
+    gaps = x.select("media", "cue_idx", F.lag("end_ms").over(blocks.in_block("media", "cue_idx")).alias("start_ms"), F.col("start_ms").alias("end_ms"), "entry").where("NOT entry").drop("entry")
     return gaps.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 
@@ -145,11 +158,15 @@ def remerge_speaker(segments: DataFrame, slack_ms: int = 100) -> DataFrame:
     return part.groupBy("media", "turn", "part").agg(F.first("raw_speaker").alias("raw_speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("part")
 
 
-def speaker_groups(cues: DataFrame) -> DataFrame:
-    """Runs of cues of one speaker; null is a speaker of its own."""
-    changed = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(_ordered("media", "cue_idx"))) | (F.row_number().over(_ordered("media", "cue_idx")) == 1)
-    runs = islands(cues, changed, "grp", "media", "cue_idx")
-    return runs.groupBy("media", "grp").agg(F.first("speaker").alias("speaker"), F.min("cue_idx").alias("first_cue"), F.count("*").alias("n_cues"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+def speaker_groups(cues: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Runs of cues of one speaker; null is a speaker of its own. Scanned by blocks of cues."""
+    x = cues.select("media", "cue_idx", "start_ms", "end_ms", F.struct("speaker").alias("who"))
+    x = blocks.with_entries(x, "media", "cue_idx", block, "who")
+    w = blocks.in_block("media", "cue_idx")
+    x = x.withColumn("new", ~F.col("entry") & ~F.col("who").eqNullSafe(F.lag("who").over(w))).withColumn("run", F.sum(F.col("new").cast("int")).over(w))
+    runs = x.where("NOT entry").groupBy("media", "block", "run").agg(F.first("who").alias("who"), F.min("cue_idx").alias("first_cue"), F.count("*").alias("n"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    each = blocks.numbered(runs, "media").groupBy("media", F.col("run").alias("grp"))
+    return each.agg(F.first("who")["speaker"].alias("speaker"), F.min("first_cue").alias("first_cue"), F.sum("n").alias("n_cues"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
 def peaks(samples: DataFrame, buckets: int) -> DataFrame:
