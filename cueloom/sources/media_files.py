@@ -110,7 +110,7 @@ class _Reader(DataSourceReader):
         return [(f.path, f.size) for f in found if _medium(f.path)[1] in self.kinds]
 
     def partitions(self) -> list[Files]:
-        return [Files(x) for x in storage.packed(self.files(), self.split)]
+        return [Files(x) for x in storage.packed(self.files(), self.split)] or [Files([])]  # none at all would be read as a partition of None
 
     def content(self, path: str) -> bytes:
         store, _ = storage.opened(self.path)
@@ -164,7 +164,7 @@ class WavReader(_Reader):
             if size > self.split and (h := self.header(store, path, size)):
                 step = max(1, self.split // max(1, h["align"]))
                 parts += [Files([(path, size)], at, step) for at in range(0, h["size"] // max(1, h["align"]), step)]
-        return parts
+        return parts or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = storage.opened(self.path)

@@ -3,7 +3,7 @@
 A task writes into a folder of its own, part-<id>. Nothing is moved when a job ends: the driver writes one
 small file, _committed-<id>, with the names of the parts that belong to the result, so a failed,
 killed or repeated task leaves nothing that a reader sees. Readers go by these lists; a folder
-without any was written by something else, and all its files count.
+without any was written by something else, and all its files count but those in parts of tasks.
 """
 
 from __future__ import annotations
@@ -86,6 +86,8 @@ def visible(path: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
             with store.open_input_stream(name) as f:
                 folders += [f"{root}/{part}" for part in json.loads(f.read())]
     files = [f for folder in folders for f in store.get_file_info(fs.FileSelector(folder, recursive=True)) if f.type == fs.FileType.File]
+    if not lists:  # parts of a first job that hasn't ended, or never did
+        files = [f for f in files if not re.search(r"/part-[0-9a-f]{32}/", f.path[len(root.rstrip("/")) :])]
     return store, sorted((f for f in files if not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
 
 
