@@ -17,10 +17,12 @@ from cueloom.llm.near_dedup import near_groups
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters (null and blank texts among them), or with words of none of the languages for the most part, go.
 
-    The languages are learned from the documents' own labels; without any label all documents go.
-    Rows that repeat go or stay alike. Extra columns are carried along; an empty table stays empty.
+    lang becomes the language that the text is in by its words: a missing label is filled, a wrong one
+    corrected, and all stages after this one carry it. The languages are learned from the documents'
+    own labels; without any label all documents go. Rows that repeat go or stay alike, and copies of a
+    text have one language. Extra columns are carried along; an empty table stays empty.
     """
-    return language_id.known_language(docs, language_id.learn(docs))
+    return language_id.known_language(docs, language_id.learn(docs), label="lang")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +72,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document: a row for each row of docs. A null text has no ids."""
-    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """doc_id, n_tokens, ids and lang of each document: a row for each row of docs. A null text has no ids."""
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=("lang",))
 
 
 STAGES = [

@@ -253,19 +253,20 @@ def _map(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def bpe_encode(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids (array<int>).
+def bpe_encode(docs: DataFrame, vocab_path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids (array<int>), then the columns that carry names.
 
-    A null text counts as empty and has no ids; rows that repeat are encoded each; extra columns are
+    A null text counts as empty and has no ids; rows that repeat are encoded each; other columns are
     ignored; no rows give no rows. Texts of any length are encoded whole.
     """
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, n = load(vocab_path).encode([t or "" for t in b.column(1).to_pylist()])
         ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), *b.columns[2:]], names=["doc_id", "n_tokens", "ids", *carry])
 
-    return _map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), encode, "doc_id long, n_tokens long, ids array<int>")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return _map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), encode, f"doc_id long, n_tokens long, ids array<int>{more}")
 
 
 def bpe_decode(encoded: DataFrame, vocab_path: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Numbered, crc_bucket, mix64, text_pieces
+from .common import Numbered, crc_bucket, free_name, mix64, text_pieces
 
 #: Bounds of the training sample: documents of each language (by a hash of their ids), and the characters of the longest one taken.
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 40_000
@@ -349,35 +349,39 @@ class Labeller:
         return lang, score, n.tolist(), found
 
 
-class Evidence:
-    """A field with the known share of the words it has met."""
+class Evidence(Labeller):
+    """A field with the emissions and, in a last column, the known share of the words it has met."""
 
     def __init__(self, crf: Crf):
-        self.crf, self.index = crf, _Met(1)
+        self.crf, self.index = crf, _Met(len(crf.languages) + 1)
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        return self._rows(words)[:, :-1]
 
     def known(self, texts: list[str | None]) -> list[float]:
         """The mean over each text's words; 0 for a text without letters, or if nothing was learned."""
         if len(texts) == 1 and len(texts[0] or "") > PIECE:
-            parts = [self._shares(words_of(x)) for x in text_pieces(texts[0], _CUT, PIECE)]
+            parts = [self._rows(words_of(x))[:, -1] for x in text_pieces(texts[0], _CUT, PIECE)]
             return [float(sum(x.sum() for x in parts) / max(1, sum(map(len, parts))))]
         words = [words_of(t) for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         out = np.zeros(len(texts))
         if n.any():
-            shares = self._shares([w for ws in words for w in ws])
+            shares = self._rows([w for ws in words for w in ws])[:, -1]
             out[n > 0] = np.add.reduceat(shares, (np.cumsum(n) - n)[n > 0]) / n[n > 0]
         return out.tolist()
 
-    def _shares(self, words: list[str]) -> np.ndarray:
+    def _rows(self, words: list[str]) -> np.ndarray:
         index = self.index
         numbers = index.numbers(words)
         if index.fresh:
             old = len(index) - len(index.fresh)
             if len(index.rows) < len(index):
-                index.rows = np.resize(index.rows, (2 * len(index), 1))
-            index.rows[old : len(index), 0] = self.crf.known(index.fresh)
+                index.rows = np.resize(index.rows, (2 * len(index), index.rows.shape[1]))
+            index.rows[old : len(index), :-1] = self.crf.emissions(index.fresh)
+            index.rows[old : len(index), -1] = self.crf.known(index.fresh)
             index.fresh = []
-        return index.rows[numbers, 0].astype(float)
+        return index.rows[numbers].astype(float)
 
 
 def held_out(col: str = "doc_id"):
@@ -389,9 +393,11 @@ def held_out(col: str = "doc_id"):
 LEAST_KNOWN = 0.85
 
 
-def known_language(docs: DataFrame, crf: Crf, least: float = LEAST_KNOWN) -> DataFrame:
+def known_language(docs: DataFrame, crf: Crf, least: float = LEAST_KNOWN, label: str | None = None) -> DataFrame:
     """docs, all columns, without those that have no letters or whose words are of none of the languages.
 
+    label names the column, given or new, that gets the language of each text, as identify() predicts it.
+
     Words count by the evidence for all languages together, so a text that switches between several of
     them stays, however even their shares. Null and blank texts have no letters; if nothing was
     learned all go. Rows that repeat stay or go alike; no rows give no rows. Of the rows the text
@@ -399,10 +405,21 @@ def known_language(docs: DataFrame, crf: Crf, least: float = LEAST_KNOWN) -> Dat
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
-    @F.arrow_udf("double")
-    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("string")
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Null for texts that go."""
         judge = Evidence(shared.value)
         for texts in batches:
-            yield pa.array([x for lo, hi in slices(texts) for x in judge.known(texts.slice(lo, hi - lo).to_pylist())], pa.float64())
-
-    return docs.where(evidence(F.col("text").cast("string")) >= least)
+            out = []
+            for lo, hi in slices(texts):
+                part = texts.slice(lo, hi - lo).to_pylist()
+                kept = [x >= least for x in judge.known(part)]
+                lang = iter(judge.label([t for t, k in zip(part, kept, strict=True) if k])[0] if label and any(kept) else ["und"] * len(part))
+                out += [next(lang) if k else None for k in kept]
+            yield pa.array(out, pa.string())
+
+    if label is None:
+        return docs.where(language(F.col("text").cast("string")).isNotNull())
+    found = free_name(docs.columns, "found")
+    labelled = docs.withColumn(found, language.asNondeterministic()(F.col("text").cast("string")))  # worked out once, for the filter and the column
+    return labelled.where(F.col(found).isNotNull()).withColumn(label, F.col(found)).drop(found)

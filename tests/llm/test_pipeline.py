@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cueloom.llm import language_id
@@ -128,3 +129,17 @@ def test_a_corpus_of_long_texts_alone_is_kept(spark):
     assert all(len(t) > language_id.SAMPLE_CHARS for _, t, _ in made)
     assert sorted(language_id.learn(long).languages) == sorted(r.lang for r in by_lang)
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, long, SMALL).collect()} == {i for i, _, _ in made}
+
+
+def test_the_language_found_reaches_the_result(spark):
+    """Labels that are missing or wrong are set right, and the encoded rows carry them."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null and length(text) > 300")
+    given = {r.doc_id: r.lang for r in docs.collect()}
+    odd = sorted(given)[::25]
+    wrong = {i: None if n % 2 else next(x for x in sorted(set(given.values())) if x != given[i]) for n, i in enumerate(odd)}
+    changed = docs.join(spark.createDataFrame(list(wrong.items()), "doc_id long, new string").withColumnRenamed("doc_id", "i"), F.col("doc_id") == F.col("i"), "left")
+    changed = changed.withColumn("lang", F.when(F.col("i").isNull(), F.col("lang")).otherwise(F.col("new"))).select(docs.columns)
+    found = settled(corpus_pipeline.identify_language(spark, changed, SMALL))
+    assert found.columns == docs.columns
+    assert {r.doc_id: r.lang for r in found.collect()} == given
+    assert {r.doc_id: r.lang for r in corpus_pipeline.encode(spark, found, SMALL).collect()} == given
