@@ -72,13 +72,14 @@ def settled(df: DataFrame, parts: int | None = None) -> DataFrame:
 HOT_ROWS, HOT_SHARE = 64, 20_000
 
 
-def frequent_keys(rows: DataFrame, *keys: str, n: int | None = None, size: str | None = None) -> DataFrame | None:
-    """__key, __salts of the values of these columns in more than a HOT_SHARE-th of n rows (of all, if n isn't given), and over how many salts each is to be dealt; None if there is none.
+def frequent_keys(rows: DataFrame, *keys: str, n: int | None = None, size: str | None = None, bound: int | None = None) -> DataFrame | None:
+    """__key, __salts of the values of these columns in more than `bound` rows (by default a HOT_SHARE-th of n, or of all, if n isn't given), and over how many salts each is to be dealt; None if there is none.
 
     With `size` rows has a row for each key and that column says how many it stands for. Keys are
-    counted by partial sums on the map side. len(keys) * HOT_SHARE rows at most, which are broadcast.
+    counted by partial sums on the map side. len(keys) * HOT_SHARE rows at most, or as many as `bound`
+    allows, which are broadcast.
     """
-    bound = max(HOT_ROWS, (rows.count() if n is None else n) // HOT_SHARE)
+    bound = bound or max(HOT_ROWS, (rows.count() if n is None else n) // HOT_SHARE)
     many = F.sum(size) if size else F.count("*")
     key = F.explode(F.array(*keys)) if len(keys) > 1 else F.col(keys[0])
     hot = rows.select(key.alias("__key"), *filter(None, [size])).groupBy("__key").agg(many.alias("__n")).where(F.col("__n") > bound)

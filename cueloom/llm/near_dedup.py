@@ -33,6 +33,8 @@ BASE = 1.0005
 _OFFSET = math.ceil(4 / math.log(BASE))
 #: Orders in which buckets choose their pivots: a text has about so many different ones in the buckets of a group, whatever the number of bands.
 PIVOTS = 3
+#: About so many rows of a shingle meet as many others in one cell of the last join.
+CELL_ROWS = 2048
 #: Twice the log likelihood ratio at which a pair is set aside: over six standard deviations.
 CUT = 40.0
 
@@ -226,8 +228,9 @@ def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
 
     With shingles in one order, rarest first, two sets that are similar enough share one among the
     first n - ceil(num * n / den) + 1 of each; and where they first meet, what is left of both
-    bounds what they can share. Shingles of one set alone come first and meet nothing. A shingle that
-    many sets meet in is dealt over tasks on one side and repeated on the other.
+    bounds what they can share. Of two sets the smaller one meets the larger within fewer places, as the
+    larger has n shingles or more to be shared with. Shingles of one set alone come first and meet
+    nothing. The rows of a shingle that many sets meet in are dealt over a square of cells.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +246,29 @@ def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
     first = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - alone
     rare = per.where(first > 0).select("id", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, first.cast("int"))).alias("i", "s"))
     rare = settled(rare.select("id", "comp", "n", F.col("s.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i")).alias("left")))
-    one, two = (rare.select(*(F.col(c).alias(c if c == "h" else f"{c}_{x}") for c in rare.columns)) for x in "ab")
+    larger, smaller = _in_cells(rare, rare.where((num + den) * F.col("left") >= 2 * num * F.col("n")), "h")
+    one, two = (side.select(*(F.col(c).alias(c if c in ("h", "cell") else f"{c}_{x}") for c in side.columns)) for side, x in ((larger, "a"), (smaller, "b")))
     most = F.least("left_a", "left_b")
-    both = spread_join(one, two, "h", frequent_keys(rare, "h")).where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") > F.col("id_b")) & (den * most >= num * (F.col("n_a") + F.col("n_b") - most)))
-    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    both = one.join(two, ["h", "cell"]).where((F.col("comp_a") != F.col("comp_b")) & (F.struct("n_a", "id_a") > F.struct("n_b", "id_b")) & (den * most >= num * (F.col("n_a") + F.col("n_b") - most)))
+    return both.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+
+def _in_cells(one: DataFrame, two: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """one and two (a part of one), with the cells in which each row of one meets each row of two that has its key, once.
+
+    A key with over CELL_ROWS rows has a square of cells, so many to a side that about CELL_ROWS rows
+    of each table meet in one: a row is repeated once for each CELL_ROWS rows of its key, and no more.
+    """
+    hot = frequent_keys(one, key, bound=CELL_ROWS)
+    if hot is None:
+        return one.withColumn("cell", F.lit(0)), two.withColumn("cell", F.lit(0))
+    g = F.coalesce(F.col("__salts"), F.lit(1))
+    own, other = F.pmod(F.xxhash64("id"), g).cast("int"), F.sequence(F.lit(0), g - 1)
+
+    def placed(side: DataFrame, cell) -> DataFrame:
+        return side.join(hot, side[key] == hot["__key"], "left").withColumn("cell", F.explode(F.transform(other, cell))).drop("__key", "__salts")
+
+    return placed(one, lambda x: own * g + x), placed(two, lambda x: x * g + own)
 
 
 def near_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m: int = REGISTERS) -> DataFrame:

@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cueloom.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, near_dedup, secrets, token_planes, toxicity, warc
 from cueloom.llm import words as words_module
@@ -195,6 +196,36 @@ def test_near_groups(spark, duck, k, num, den):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def test_a_shingle_of_many_sets_is_dealt_over_few_rows(spark, monkeypatch):
+    """Each row meets each other row of its key once, and is repeated once for each CELL_ROWS rows of it, not for each 64."""
+    one = spark.range(1000).select(F.lit(7).alias("h"), "id").unionByName(spark.range(30).select((F.col("id") % 10).cast("int").alias("h"), "id")).cache()
+    for rows, times in ((2048, 1), (400, 3)):
+        monkeypatch.setattr(near_dedup, "CELL_ROWS", rows)
+        a, b = near_dedup._in_cells(one, one.where("id % 3 = 0"), "h")
+        assert a.where("h = 7").count() == 1003 * times and a.where("h <> 7").count() == 27
+        met = a.select("h", "cell", F.col("id").alias("x")).join(b.select("h", "cell", F.col("id").alias("y")), ["h", "cell"]).groupBy("h").count()
+        had = one.join(one.where("id % 3 = 0").select("h", F.col("id").alias("y")), "h").groupBy("h").count()
+        assert sorted(map(tuple, met.collect())) == sorted(map(tuple, had.collect()))
+
+
+def test_near_misses_across_components(spark, monkeypatch):
+    """Edited copies of one text, most of them too far from each other, each a component of its own: all links are among the pairs, whatever the cells."""
+    rng = random.Random(9)
+    base = rng.sample(range(10**6), 60)
+    sets = {i: sorted({*base, *rng.sample(range(10**6), 3)} - {*rng.sample(base, rng.randint(1, 6))}) for i in range(300)}
+    near = {(a, b) for a in sets for b in range(a) if 100 * len(both := {*sets[a]} & {*sets[b]}) >= 85 * (len(sets[a]) + len(sets[b]) - len(both))}
+    assert 0 < len(near) < 300 * 299 // 4
+    hashed = spark.createDataFrame([(i, bytearray(np.array(h, "<i8").tobytes())) for i, h in sets.items()], "id long, hashes binary")
+    ids = spark.createDataFrame([(i, i, len(h)) for i, h in sets.items()], "id long, comp long, n long")
+    found = {}
+    for rows in (2048, 50):
+        monkeypatch.setattr(near_dedup, "CELL_ROWS", rows)
+        got = [tuple(r) for r in near_dedup._crossing(hashed, ids, 85, 100).collect()]
+        found[rows] = set(got)
+        assert len(got) == len(found[rows]) and near <= found[rows] and all(a > b for a, b in got)
+    assert found[2048] == found[50]
+
+
 def test_near_edges(spark):
     got = [tuple(r) for r in near_dedup.near_groups(odd_docs(spark), 3, 85, 100).collect()]
     assert len(got) == odd_docs(spark).count()
