@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm import language_id
 from cueloom.llm.bpe import bpe_encode
-from cueloom.llm.common import among, clearing, free_name, settled, table, without
+from cueloom.llm.common import among, clearing, free_name, release, settled, small_batches, table, without
 from cueloom.llm.decontaminate import clean_documents
 from cueloom.llm.exact_dedup import exact_dedup, text_digest
 from cueloom.llm.near_dedup import near_groups
@@ -22,7 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     own labels; without any label all documents go. Rows that repeat go or stay alike, and copies of a
     text have one language. Extra columns are carried along; an empty table stays empty.
     """
-    return language_id.known_language(docs, language_id.learn(docs), label="lang")
+    small_batches(spark)
+    crf = language_id.learn(docs)
+    release()  # what the driver learned from
+    return language_id.known_language(docs, crf, label="lang")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +34,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     So of rows that are one document written several times one stays, and rows that share a doc_id
     are told apart by their texts. A null text counts as an empty one. Columns stay as they were.
     """
+    small_batches(spark)
     names = docs.columns
     digest, row = free_name(names, "digest"), free_name(names, "row")
     marked = docs.withColumn(digest, F.unhex(text_digest(F.col("text"))))
@@ -51,6 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and blank texts are alike to nothing and stay. Rows that share an id or have none are
     documents of their own, numbered after all ids. Columns stay as they were; an empty table stays empty.
     """
+    small_batches(spark)
     names = docs.columns
     number = free_name(names, "row")
     repeated = settled(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null"))
@@ -68,11 +73,13 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null and blank texts hold none and stay; rows that repeat go or stay alike. Columns stay as they were.
     """
+    small_batches(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and lang of each document: a row for each row of docs. A null text has no ids."""
+    small_batches(spark)
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=("lang",))
 
 

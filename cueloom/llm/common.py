@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,24 @@ def settled(df: DataFrame, parts: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of rows that small_batches() has handed to Python at a time (one row at least).
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of BATCH_BYTES at most: a batch is held by the JVM and by the Python worker, twice over while it grows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the machine: Python workers are used again by later stages, and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 #: A key counts as frequent from this number of rows, and from this share of all rows, so that frequent keys are few (SHARE at most).
 HOT_ROWS, HOT_SHARE = 64, 20_000
 

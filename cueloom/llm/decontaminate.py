@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, gather, settled
+from .common import free_name, gather, release, settled
 from .words import ALNUM, STEP, Words, in_slices
 
 #: Most bytes that the windows of one pass take when built; a larger benchmark is scanned in several passes.
@@ -192,6 +192,7 @@ def _leaks(shared):
             for at, words in in_slices(texts, ALNUM):
                 out[[at + i for i in windows.hits(words)[1]]] = True
             yield pa.array(out)
+        release()
 
     return leaks
 

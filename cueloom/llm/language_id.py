@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Numbered, crc_bucket, free_name, mix64, text_pieces
+from .common import Numbered, crc_bucket, free_name, mix64, release, text_pieces
 
 #: Bounds of the training sample: documents of each language (by a hash of their ids), and the characters of the longest one taken.
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 40_000
@@ -417,6 +417,8 @@ def known_language(docs: DataFrame, crf: Crf, least: float = LEAST_KNOWN, label:
                 lang = iter(judge.label([t for t, k in zip(part, kept, strict=True) if k])[0] if label and any(kept) else ["und"] * len(part))
                 out += [next(lang) if k else None for k in kept]
             yield pa.array(out, pa.string())
+        del judge
+        release()
 
     if label is None:
         return docs.where(language(F.col("text").cast("string")).isNotNull())

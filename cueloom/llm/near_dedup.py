@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, GOLDEN, HOT_ROWS, HOT_SHARE, frequent_keys, mix64, settled, spread_join
+from .common import BROADCAST_IDS, GOLDEN, HOT_ROWS, HOT_SHARE, frequent_keys, mix64, release, settled, spread_join
 from .words import SPACED, STEP, Words, in_slices
 
 REGISTERS = 240
@@ -129,6 +129,7 @@ def sketches(docs: DataFrame, k: int, m: int = REGISTERS) -> DataFrame:
                 digest = [hashlib.blake2b(raw[x:y], digest_size=16).digest() if y > x else None for x, y in zip(ends, ends[1:], strict=False)]
                 regs = [r.tobytes() for r in truncated(minima(h, n, m))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(words)), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n", "digest", "regs"])
+        release()
 
     return rows.mapInArrow(run, "doc_id long, n long, digest binary, regs binary")
 
@@ -147,6 +148,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 sets, wanted = [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], b.column(2).slice(at, len(words)).to_pylist()
                 right = pa.array([hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, wanted, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(words)).filter(right), pa.array(sets, pa.binary()).filter(right)], names=["id", "hashes"])
+        release()
 
     return settled(rows.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"]))
 
@@ -165,6 +167,7 @@ def _plausible(pairs: DataFrame, hot: DataFrame | None, reps: DataFrame, num: in
                 j, ok = similarity(*regs, part.column(2).to_numpy().astype(float), part.column(4).to_numpy().astype(float), num / den)
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(j).filter(keep)], names=["a", "b", "j"])
+        release()
 
     return settled(sized.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long, j double"))
 
@@ -181,6 +184,7 @@ def _verified(pairs: DataFrame, hot: DataFrame | None, sets: DataFrame, num: int
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(den * common >= num * (len(both) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     both = spread_join(spread_join(pairs.select("a", "b"), side("a"), "a", hot), side("b"), "b", hot)
     return settled(both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
