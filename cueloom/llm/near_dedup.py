@@ -8,8 +8,8 @@ full sets decide. Texts with equal sets are one class from the start; a class ha
 
 In a bucket of a band each member is first compared with the bucket's pivot alone, then, where its
 component is another, with the bucket's member of most links. Buckets that still hold several
-components are joined with themselves across components, under a bound on the overlap that exact
-counts give, so that no link between components is lost.
+components are joined with themselves across components, on what tells each text from most of the
+texts around it, under bounds that exact counts give, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ _OFFSET = math.ceil(4 / math.log(BASE))
 PIVOTS = 3
 #: About so many rows of a shingle meet as many others in one cell of the last join.
 CELL_ROWS = 2048
+#: Shingles of over one in so many of a cluster's sets are its centre.
+CENTRE = 2
 #: Twice the log likelihood ratio at which a pair is set aside: over six standard deviations.
 CUT = 40.0
 
@@ -227,14 +229,70 @@ def _open_buckets(members: DataFrame, comp: DataFrame, hot: DataFrame | None) ->
     return settled(spread_join(placed, several, "bucket", hot, "left_semi"))
 
 
-def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of ids (id, comp, n) in different components that may be similar enough: a superset of those that are.
+def _clusters(open_: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """id, comp, cluster of open_ (bucket, id, comp), these buckets in many: components that share a bucket, directly or by others, are one cluster."""
+    least = open_.groupBy("bucket").agg(F.min("comp").alias("lo"))
+    met = spread_join(open_.select("bucket", "comp").distinct(), least, "bucket", hot).select(F.col("comp").alias("a"), F.col("lo").alias("b"))
+    ids = settled(open_.select("id", "comp").distinct())
+    of = components(met).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
+    return spread_join(ids, of, "comp", frequent_keys(ids, "comp"), "left").withColumn("cluster", F.coalesce("cluster", "comp"))
 
-    With shingles in one order, rarest first, two sets that are similar enough share one among the
-    first n - ceil(num * n / den) + 1 of each; and where they first meet, what is left of both
-    bounds what they can share. Of two sets the smaller one meets the larger within fewer places, as the
-    larger has n shingles or more to be shared with. Shingles of one set alone come first and meet
-    nothing. The rows of a shingle that many sets meet in are dealt over a square of cells.
+
+def _differences(sets: DataFrame, ids: DataFrame, often: DataFrame | None) -> DataFrame:
+    """id, d, hashes: how each set of ids (id, cluster), with these clusters in many, differs from its cluster's centre, the shingles of over a CENTRE-th of the cluster's sets.
+
+    What two sets of a cluster don't share is what their differences don't share. Where a cluster is a
+    crowd of edited copies, differences are small and mostly of one set alone, whereas a set's
+    own shingles are nearly all those of the crowd.
+    """
+    sizes = ids.groupBy("cluster").agg(F.count("*").alias("size"))
+    placed = settled(spread_join(ids.select("id", "cluster"), sizes, "cluster", often).join(sets, "id"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, size, s in zip(*(b.column(i).to_pylist() for i in (0, 1)), b.column(2), strict=True):
+                h = np.frombuffer(s.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c)), pa.array(np.full(len(h), size)), pa.array(h)], names=["cluster", "size", "h"])
+
+    shared = placed.select("cluster", "size", "hashes").mapInArrow(each, "cluster long, size long, h long").groupBy("cluster", "h").agg(F.count("*").alias("df"), F.first("size").alias("size"))
+    centres = shared.where(CENTRE * F.col("df") > F.col("size")).groupBy("cluster").agg(F.collect_list("h").alias("centre"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, raw = [], []
+            for c, s, centre in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                of = centre.values.to_numpy() if centre.is_valid else np.empty(0, np.int64)
+                h = np.setxor1d(np.frombuffer(s.as_buffer(), "<i8"), of, assume_unique=True).view(np.uint64)
+                h = mix64(h ^ mix64(np.array([c]))[0])  # one shingle is another in each cluster
+                d.append(len(h))
+                raw.append(h.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.int64()), pa.array(raw, pa.binary())], names=["id", "d", "hashes"])
+        release()
+
+    return settled(spread_join(placed.select("id", "cluster", "hashes"), centres, "cluster", often, "left").select("id", "cluster", "hashes", "centre").mapInArrow(run, "id long, d long, hashes binary"))
+
+
+def _central(ids: DataFrame, often: DataFrame | None, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ids (id, comp, n, cluster, d), with these clusters in many: each set with the most central one of its cluster, where differences from the centre are few enough even if they share nothing.
+
+    Two such sets are linked. If any two are, both are with the most central one, so these pairs stand for all.
+    """
+    far = ids.withColumn("far", (den + num) * F.col("d") - (den - num) * F.col("n"))
+    near = far.groupBy("cluster").agg(F.min(F.struct("far", "id", "comp")).alias("mid"))
+    both = spread_join(far.select("id", "comp", "cluster", "far"), near, "cluster", often)
+    both = both.where((F.col("comp") != F.col("mid.comp")) & (F.col("far") + F.col("mid.far") <= 0))
+    return both.select(F.greatest("id", "mid.id").alias("a"), F.least("id", "mid.id").alias("b"))
+
+
+def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int, size: str = "n") -> DataFrame:
+    """Pairs (a, b) of ids (id, comp, n) in different components that may be similar enough: a superset of those that are and share something in sets.
+
+    sets holds the sets themselves or their differences from a set, `size` is how many hashes of each. Sets
+    that are similar enough differ in (den - num) / (den + num) of the sum of their n at most. With
+    hashes in one order, rarest first, all that two sets have before they first meet is such a difference: so
+    one of them meets the other within half of that, and the other within the whole; and what is left
+    of both bounds what they can share. Hashes of one set alone come first and meet nothing. The rows
+    of a hash that many sets meet in are dealt over a square of cells.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,17 +301,18 @@ def _crossing(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
                 h = np.frombuffer(s.as_buffer(), "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], names=["id", "h"])
 
-    each = sets.join(ids.select("id"), "id", "left_semi").mapInArrow(run, "id long, h long")
+    each = sets.select("id", "hashes").join(ids.select("id"), "id", "left_semi").mapInArrow(run, "id long, h long")
     often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    per = each.join(often, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")).join(ids, "id")
-    alone = F.col("n") - F.size("shared")
-    first = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - alone
-    rare = per.where(first > 0).select("id", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, first.cast("int"))).alias("i", "s"))
-    rare = settled(rare.select("id", "comp", "n", F.col("s.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i")).alias("left")))
-    larger, smaller = _in_cells(rare, rare.where((num + den) * F.col("left") >= 2 * num * F.col("n")), "h")
-    one, two = (side.select(*(F.col(c).alias(c if c in ("h", "cell") else f"{c}_{x}") for c in side.columns)) for side, x in ((larger, "a"), (smaller, "b")))
-    most = F.least("left_a", "left_b")
-    both = one.join(two, ["h", "cell"]).where((F.col("comp_a") != F.col("comp_b")) & (F.struct("n_a", "id_a") > F.struct("n_b", "id_b")) & (den * most >= num * (F.col("n_a") + F.col("n_b") - most)))
+    per = each.join(often, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared")).join(ids.select("id", "comp", "n", F.col(size).alias("d")), "id")
+    alone = F.col("d") - F.size("shared")
+    first = F.floor(F.col("n") * (den - num) / num) + 1 - alone
+    rare = per.where(first > 0).select("id", "comp", "n", "d", alone.alias("alone"), F.posexplode(F.slice("shared", 1, first.cast("int"))).alias("i", "s"))
+    rare = settled(rare.select("id", "comp", "n", "d", F.col("s.h").alias("h"), (F.col("alone") + F.col("i")).alias("before")))
+    whole, half = _in_cells(rare, rare.where(2 * num * F.col("before") <= (den - num) * F.col("n")), "h")
+    one, two = (side.select(*(F.col(c).alias(c if c in ("h", "cell") else f"{c}_{x}") for c in side.columns)) for side, x in ((whole, "a"), (half, "b")))
+    apart = F.col("d_a") + F.col("d_b") - 2 * F.least(F.col("d_a") - F.col("before_a"), F.col("d_b") - F.col("before_b"))
+    similar = ((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b"))) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    both = one.join(two, ["h", "cell"]).where((F.col("comp_a") != F.col("comp_b")) & (F.struct("before_a", "id_a") > F.struct("before_b", "id_b")) & similar)
     return both.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
 
 
@@ -318,14 +377,19 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, m: int
         links = links.unionByName(found)
         comp = components(links)
 
-    # all others across components, by the rarest shingles that similar sets must share
+    # all others across components, by the rarest differences from their cluster's centre that similar sets must share
     open_ = _open_buckets(members.where("id <> pivot"), comp, hot)
-    ids = settled(open_.select("id", "comp").distinct().join(reps.select("id", "n"), "id"))
-    asked = settled(_crossing(sets, ids, num, den).join(pairs, ["a", "b"], "left_anti"))
-    often = frequent_keys(asked, "a", "b")
-    found = _verified(_plausible(asked, often, reps, num, den), often, sets, num, den)
-    if not found.isEmpty():
-        comp = components(links.unionByName(found))
+    if not open_.isEmpty():
+        ids = settled(_clusters(open_, hot).join(reps.select("id", "n"), "id"))
+        often = frequent_keys(ids, "cluster")
+        differences = _differences(sets, ids, often)
+        ids = settled(ids.join(differences.select("id", "d"), "id"))
+        crossing = _crossing(differences, ids, num, den, "d").unionByName(_central(ids, often, num, den)).distinct()
+        asked = settled(crossing.join(pairs, ["a", "b"], "left_anti"))
+        often = frequent_keys(asked, "a", "b")
+        found = _verified(_plausible(asked, often, reps, num, den), often, sets, num, den)
+        if not found.isEmpty():
+            comp = components(links.unionByName(found))
 
     groups = reps.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
     named = spread_join(named.select("doc_id", "n", "digest"), groups, "digest", frequent_keys(named, "digest"))

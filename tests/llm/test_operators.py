@@ -226,6 +226,46 @@ def test_near_misses_across_components(spark, monkeypatch):
     assert found[2048] == found[50]
 
 
+def test_differences_from_a_centre_lose_no_link(spark):
+    """Clusters of edited copies from close to far: links by what differences share, and by the most central set, give the components of all links."""
+    rng = random.Random(4)
+    sets, cluster = {}, {}
+    for c in range(3):
+        base = rng.sample(range(10**6), 80)
+        for i in range(100 * c, 100 * c + 100 - 98 * (c == 2)):
+            n = rng.randint(0, 9)
+            sets[i] = sorted({*base, *rng.sample(range(10**6), n)} - {*rng.sample(base, n)})
+            cluster[i] = 100 * c
+    near = {(a, b) for a in sets for b in sets if a > b and 100 * len(both := {*sets[a]} & {*sets[b]}) >= 85 * (len(sets[a]) + len(sets[b]) - len(both))}
+    hashed = spark.createDataFrame([(i, bytearray(np.array(h, "<i8").tobytes())) for i, h in sets.items()], "id long, hashes binary")
+    ids = spark.createDataFrame([(i, i, len(h), cluster[i]) for i, h in sets.items()], "id long, comp long, n long, cluster long")
+    for often in (None, near_dedup.frequent_keys(ids, "cluster", bound=30)):
+        differences = near_dedup._differences(hashed, ids, often)
+        sized = ids.join(differences.select("id", "d"), "id")
+        central = {tuple(r) for r in near_dedup._central(sized, often, 85, 100).collect()}
+        shared = {tuple(r) for r in near_dedup._crossing(differences, sized, 85, 100, "d").collect()}
+        assert central <= near and len(central) < len(sets)
+        graph = lambda pairs: sorted(map(tuple, near_dedup.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()))
+        assert graph(central | shared & near) == graph(near)
+
+
+def test_near_misses_of_a_crowd_are_few(spark, monkeypatch):
+    """A crowd of texts that are too far from each other, each with nine words of 300 changed: pairs that are asked about after the pivots and hubs don't grow with its square."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for at in rng.sample(range(300), 9):
+            w[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    asked, plausible = [], near_dedup._plausible
+    monkeypatch.setattr(near_dedup, "_plausible", lambda pairs, *rest: asked.append(pairs.count()) or plausible(pairs, *rest))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 3, 85, 100)
+    assert len(asked) < 3 or asked[2] < 400
+
+
 def test_near_edges(spark):
     got = [tuple(r) for r in near_dedup.near_groups(odd_docs(spark), 3, 85, 100).collect()]
     assert len(got) == odd_docs(spark).count()
