@@ -35,6 +35,8 @@ _OFFSET = math.ceil(4 / math.log(BASE))
 PIVOTS = 3
 #: About so many rows of a shingle meet as many others in one cell of the last join.
 CELL_ROWS = 2048
+#: A graph's edges are worked on by so many tasks, and one more for each GRAPH_ROWS of them.
+GRAPH_TASKS, GRAPH_ROWS = 6, 100_000
 #: Shingles of over one in so many of a cluster's sets are its centre.
 CENTRE = 2
 #: Twice the log likelihood ratio at which a pair is set aside: over six standard deviations.
@@ -192,26 +194,41 @@ def _verified(pairs: DataFrame, hot: DataFrame | None, sets: DataFrame, num: int
     return settled(both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
 
 
-def _with_least(edges: DataFrame, bound: int) -> DataFrame:
-    """edges (u, v) with m, the least v of each u. That of a node with more than `bound` edges, of which there are few, is broadcast."""
+def _with_least(edges: DataFrame, nodes: int, bound: int, parts: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u: broadcast, if there are few nodes, or else that of a node with more than `bound` edges, of which there are few."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if nodes <= BROADCAST_IDS // 4:
+        return edges.join(F.broadcast(least.select("u", "m").coalesce(parts)), "u")
     hot = F.broadcast(least.where(F.col("n") > bound).select("u", "m"))
     cold = edges.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
     return edges.join(hot, "u").unionByName(cold)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, comp (the least id that is reachable) of every id in links (a, b), by large and small stars in turn."""
-    edges, before = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+def _graph_size(edges: DataFrame, parts: int) -> tuple[int, int, bool]:
+    """How many edges (u, v) and nodes there are, and whether all are stars: each u has one v, which is no u."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).coalesce(parts)
+    n, ids, loose = nodes.agg(F.sum("up"), F.count("*"), F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()
+    return n or 0, ids, not loose
+
+
+def components(links: DataFrame, n: int | None = None) -> DataFrame:
+    """id, comp (the least id that is reachable) of every id in links (a, b), `n` at most, by large and small stars in turn.
+
+    Tables of edges are written by about a task for each GRAPH_ROWS, whatever the number of shuffle
+    partitions: rounds of a small graph are many small jobs.
+    """
+    parts = GRAPH_TASKS + (links.count() if n is None else n) // GRAPH_ROWS
+    edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), parts)
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        n, nodes, done = _graph_size(edges, parts)
+        if done:
             break
-        before, bound = now, max(HOT_ROWS, 2 * now[0] // HOT_SHARE)
+        parts, bound = GRAPH_TASKS + n // GRAPH_ROWS, max(HOT_ROWS, 2 * n // HOT_SHARE)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = settled(_with_least(both, bound).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        large = settled(_with_least(both, nodes, bound, parts).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), parts)
         star = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        edges = settled(_with_least(large, bound).select(star.alias("e")).select("e.*").where("u <> v").distinct())
+        edges = settled(_with_least(large, nodes, bound, parts).select(star.alias("e")).select("e.*").where("u <> v").distinct(), parts)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
@@ -234,7 +251,7 @@ def _clusters(open_: DataFrame, hot: DataFrame | None) -> DataFrame:
     least = open_.groupBy("bucket").agg(F.min("comp").alias("lo"))
     met = spread_join(open_.select("bucket", "comp").distinct(), least, "bucket", hot).select(F.col("comp").alias("a"), F.col("lo").alias("b"))
     ids = settled(open_.select("id", "comp").distinct())
-    of = components(met).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
+    of = components(met, open_.count()).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
     return spread_join(ids, of, "comp", frequent_keys(ids, "comp"), "left").withColumn("cluster", F.coalesce("cluster", "comp"))
 
 

@@ -293,6 +293,30 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
+def test_components_of_a_small_graph_take_few_tasks(spark, monkeypatch):
+    """No stage has a task for each shuffle partition; nodes that are too many to broadcast give the same components."""
+    links = spark.createDataFrame([(1000, 1000 + i) for i in range(1, 200)] + [(i, i + 1) for i in range(12)] + [(12, 1100), (2001, 2000), (2001, 2002)], "a long, b long")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    context = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("small graph", "")
+        found = near_dedup.components(links)
+        of = context.statusTracker()
+        stages = [of.getStageInfo(s) for j in of.getJobIdsForGroup("small graph") for s in of.getJobInfo(j).stageIds]
+        assert stages and max(s.numTasks for s in stages if s) < 64
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {i: 0 for i in [*range(1, 13), *range(1000, 1200)]} | {2001: 2000, 2002: 2000}
+    assert {r.id: r.comp for r in found.collect()} == want
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    assert {r.id: r.comp for r in near_dedup.components(links).collect()} == want
+
+
 # ---- exact duplicates
 
 
