@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, frequent_keys, gather, settled, spread_join
-from .near_dedup import components
+from .near_dedup import GRAPH_ROWS, GRAPH_TASKS, components
 from .words import SPACED, Words, eights, in_slices
 
 BITS = 64
@@ -119,6 +119,11 @@ def simhash(words: Words, k: int = 3) -> np.ndarray:
     return np.packbits(sets, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def few(n: int) -> int:
+    """Tasks for a table of `n` narrow rows, whatever the number of shuffle partitions: small tables in many files cost more to write and read than their rows."""
+    return GRAPH_TASKS + n // GRAPH_ROWS
+
+
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """doc_id and fp, the fingerprint of its text as a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -153,7 +158,7 @@ def correlations(fps: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(BITS * BITS + 1)), "n": pa.array(np.append(both.ravel(), n))})
 
     counts = np.zeros(BITS * BITS + 1)
-    for place, n in fps.select("fp").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n")).collect():  # 4,097 rows
+    for place, n in fps.select("fp").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n")).coalesce(GRAPH_TASKS).collect():  # 4,097 rows
         counts[place] = n
     n = max(counts[-1], 1)
     p = counts[:-1].reshape(BITS, BITS) / n
@@ -204,7 +209,7 @@ def histograms(fps: DataFrame, places: list[list[int]]) -> list[np.ndarray]:
             yield pa.RecordBatch.from_pydict({"piece": pa.array(np.full(len(some), i)), "value": pa.array(some), "n": pa.array(s[some])})
 
     out = [np.zeros(1 << len(p)) for p in places]
-    for b in fps.select("fp").mapInArrow(run, "piece long, value long, n long").groupBy("piece", "value").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for b in fps.select("fp").mapInArrow(run, "piece long, value long, n long").groupBy("piece", "value").agg(F.sum("n").alias("n")).coalesce(GRAPH_TASKS).toArrow().to_batches():
         piece, value, n = (c.to_numpy() for c in b.columns)
         for i in range(len(places)):
             out[i][value[piece == i]] = n[piece == i]
@@ -304,7 +309,7 @@ def allocated(fps: DataFrame, most: int) -> Allocation:
                 sums += [a.thresholds(bits)[1].sum() for a in sent.value]
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(sums))), "cost": pa.array(sums)})
 
-    costs = dict(fps.select("fp").mapInArrow(run, "i long, cost double").groupBy("i").agg(F.sum("cost")).collect())
+    costs = dict(fps.select("fp").mapInArrow(run, "i long, cost double").groupBy("i").agg(F.sum("cost")).coalesce(GRAPH_TASKS).collect())
     return choices[min(range(len(choices)), key=lambda i: costs.get(i, 0))]
 
 
@@ -314,6 +319,8 @@ def allocated(fps: DataFrame, most: int) -> Allocation:
 #: A bucket with more fingerprints is dense: its members aren't compared with each other. A member of a smaller one meets half of DENSE
 #: others, each a comparison of two longs in the join; one of a dense bucket makes up to 2,146 rows for midpoints.
 DENSE = 1024
+#: Fingerprints whose midpoints one task makes.
+FLIPPED = 512
 
 
 def flips(fp: Column, radius: int) -> Column:
@@ -328,20 +335,22 @@ def _close(a: str, b: str, most: int) -> Column:
 
 def _dense_components(dense: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(id, comp of `links` and of the links with pivots; links (a, b) between these components), for the members (key, fp) of dense buckets."""
+    parts = few(dense.count())
     pivots = dense.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp"), "fp"))["fp"].alias("pivot"))
-    star = settled(dense.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & _close("fp", "pivot", most)).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
+    star = settled(dense.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & _close("fp", "pivot", most)).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), parts)
     comp = settled(components(links.unionByName(star)))
-    placed = settled(dense.join(comp.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
+    placed = settled(dense.join(comp.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), parts)
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("comps"))
-    open_ = settled(placed.join(sizes.where("comps > 1"), "key").groupBy("fp", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor")))
+    open_ = settled(placed.join(sizes.where("comps > 1"), "key").groupBy("fp", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor")), parts)
     # of a pair in two components, one at least isn't in its bucket's main one: that one flips more bits
-    lo, hi = most // 2, most - most // 2
-    dealt = open_.repartition("fp")
-    one = dealt.select("fp", "comp", F.explode(flips(F.col("fp"), lo)).alias("v"))
-    two = dealt.where("minor").select("fp", "comp", F.explode(flips(F.col("fp"), hi)).alias("v"))
-    anchor = one.groupBy("v").agg(F.min(F.struct("fp", "comp")).alias("at"))
-    met = one.unionByName(two).join(anchor, "v").where(F.col("comp") != F.col("at.comp"))
-    crossing = settled(met.select(F.col("comp").alias("a"), F.col("at.comp").alias("b")).distinct())
+    lo, hi, n = most // 2, most - most // 2, open_.count()
+    dealt = open_.repartition(GRAPH_TASKS + n // FLIPPED)
+    fp = F.col("fp")
+    anchor = dealt.select("fp", "comp", F.explode(flips(fp, lo)).alias("v")).groupBy("v").agg(F.min(F.struct("fp", "comp")).alias("at"))
+    anchor = F.broadcast(anchor.coalesce(GRAPH_TASKS)) if n * (BITS + 1) ** lo <= BROADCAST_IDS // 4 else anchor
+    flipped = dealt.select("fp", "comp", F.explode(F.when(F.col("minor"), flips(fp, hi)).otherwise(flips(fp, lo))).alias("v"))
+    met = flipped.join(anchor, "v").where(F.col("comp") != F.col("at.comp"))
+    crossing = settled(met.select(F.col("comp").alias("a"), F.col("at.comp").alias("b")).distinct(), few(n))
     return comp, crossing
 
 
@@ -356,15 +365,16 @@ def fingerprint_components(fps: DataFrame, most: int, dense_from: int = DENSE) -
                 yield pa.RecordBatch.from_pydict({"key": pa.array(key), "fp": pa.array(fp), "probe": pa.array(probe)})
 
     rows = settled(fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean"))
+    parts = few(rows.count())
     sizes = rows.where("not probe").groupBy("key").agg(F.count("*").alias("n"))
-    dense_keys = settled(sizes.where(F.col("n") > dense_from).select("key"))
+    dense_keys = settled(sizes.where(F.col("n") > dense_from).select("key"), parts)
     some = dense_keys.count()
     listed = F.broadcast(dense_keys) if some <= BROADCAST_IDS else dense_keys
     thin = rows.join(listed, "key", "left_anti") if some else rows
     index, probes = thin.where("not probe").select("key", F.col("fp").alias("b")), thin.where("probe").select("key", F.col("fp").alias("a"))
-    links = settled(probes.join(index, "key").where((F.col("a") > F.col("b")) & _close("a", "b", most)).select("a", "b").distinct())
+    links = settled(probes.join(index, "key").where((F.col("a") > F.col("b")) & _close("a", "b", most)).select("a", "b").distinct(), parts)
     if some:
-        dense = settled(rows.join(listed, "key", "left_semi").select("key", "fp").distinct())
+        dense = settled(rows.join(listed, "key", "left_semi").select("key", "fp").distinct(), parts)
         comp, crossing = _dense_components(dense, links, most)
         if crossing.isEmpty():
             return comp
@@ -382,9 +392,10 @@ def simhash_groups(docs: DataFrame, k: int = 5, most: int = 3, dense_from: int =
     doc_id has a null component_id. Repeated rows are kept; extra columns are ignored; no rows give none.
     """
     rows = settled(fingerprints(docs, k))
-    fps = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = settled(fps.join(fingerprint_components(fps, most, dense_from).withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
+    n = rows.count()
+    fps = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), few(n))
+    comp = settled(fps.join(fingerprint_components(fps, most, dense_from).withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), few(n))
     names = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = spread_join(comp, names, "comp", frequent_keys(comp, "comp")).select("fp", "component_id")
-    out = spread_join(rows, named, "fp", frequent_keys(rows, "fp"))
+    out = spread_join(rows, named, "fp", frequent_keys(rows, "fp", n=n)).coalesce(few(n))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -73,6 +73,34 @@ def test_components_of_clusters(spark, dense_from, most):
     assert groups({x: comp.get(x, x) for x in fps}) == groups({x: fps[w] for x, w in zip(fps, want, strict=True)})
 
 
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_IDS, 0])
+def test_small_tables_of_fingerprints_take_few_files(spark, monkeypatch, broadcast):
+    """No table is written by a task for each shuffle partition, with and without dense buckets; midpoints that are too many to broadcast, made by several tasks, give the same components."""
+    rng = random.Random(3)
+    centre = rng.getrandbits(64)
+    fps = list(dict.fromkeys(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(8))) for _ in range(300)))
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long").repartition(3)
+    files, write = [], simhash.settled
+    monkeypatch.setattr(simhash, "settled", lambda *a: files.append(len((out := write(*a)).inputFiles())) or out)
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(simhash, "FLIPPED", 16)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        comp = {r.id & (1 << 64) - 1: r.comp & (1 << 64) - 1 for r in simhash.fingerprint_components(df, 3, 8).collect()}
+        docs = spark.createDataFrame([(i, f"word{i} and {i % 7}") for i in range(300)], "doc_id long, text string").repartition(3)
+        assert simhash.simhash_groups(docs).rdd.getNumPartitions() < 16
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 8 and max(files) < 16
+    want = linked(fps)
+    groups = lambda of: sorted(sorted(x for x in fps if of[x] == c) for c in set(of.values()))
+    assert groups({x: comp.get(x, x) for x in fps}) == groups({x: fps[w] for x, w in zip(fps, want, strict=True)})
+
+
 def test_op11_on_the_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in QUERIES["op11_simhash"](spark, SMALL).collect()}
