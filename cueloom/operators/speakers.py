@@ -35,10 +35,11 @@ def consolidate(segments: DataFrame, centroids: DataFrame, top_k: int = 0, share
     """media, raw_speaker, speaker_id: major raw speakers get labels by duration, others their most similar major's, if similar enough, else unknown.
 
     top_k of 0 takes as major whoever has the share and the seconds, or else the longest. Centroids
-    (media, raw_speaker, centroid) are of each media's own raw speakers; one without is unknown.
+    (media, raw_speaker, centroid) are of each media's own raw speakers; one without is unknown. A media's
+    total is a sum of whole milliseconds: a sum of seconds depends on its order, and with it who has just the share.
     """
     stats = speech_seconds(segments, "media", "raw_speaker")
-    total = F.sum("duration_s").over(Window.partitionBy("media"))
+    total = F.sum(F.round(F.col("duration_s") * 1000).cast("long")).over(Window.partitionBy("media")) / 1000
     stats = stats.withColumn("total_s", total).join(centroids.select("media", "raw_speaker", "centroid"), ["media", "raw_speaker"], "left")
     known = stats.where("centroid is not null")
     rank = F.row_number().over(Window.partitionBy("media").orderBy(F.desc("duration_s"), "raw_speaker")) - 1

@@ -1,10 +1,12 @@
 """Boundary cases of the sequence, interval and text operators."""
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from cueloom.functions import parsing as P
 from cueloom.functions import text as T
-from cueloom.operators import intervals, sequences
+from cueloom.operators import intervals, sequences, speakers
 from cueloom.plans import queue
 from cueloom.sources import subtitles
 
@@ -126,3 +128,16 @@ def test_highlight(spark):
 
     got = state.highlight(spark.createDataFrame([("k", "The other THEME"), ("n", None), ("e", "")], "key string, text string"), "key", "text", "the").orderBy("key", "pos").collect()
     assert [(r.key, r.t, r.is_match) for r in got] == [("k", "The", True), ("k", " o", False), ("k", "the", True), ("k", "r ", False), ("k", "THE", True), ("k", "ME", False)]
+
+
+def test_consolidation_of_a_share_at_the_limit(spark):
+    """Just a fifth of a media's time: the same answer whatever the order of its speakers."""
+    ms = (674_670, 506_460, 370_060, 585_160, 789_450)
+    assert 5 * ms[3] == sum(ms)
+    rows = [(m, s, 0, n) for m, order in enumerate(permutations(ms)) for s, n in enumerate(order)]
+    segments = spark.createDataFrame(rows, "media long, raw_speaker int, start_ms long, end_ms long").coalesce(1)
+    centroids = segments.select("media", "raw_speaker", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (i == F.col("raw_speaker")).cast("double")).alias("centroid"))
+    got = speakers.consolidate(segments, centroids, share=0.2).collect()
+    assert len(got) == len(rows)
+    share = 585.16 / (sum(ms) / 1000)
+    assert {r.speaker_id for r in got if r.duration_s == 585.16} == {"speaker_C" if share >= 0.2 else "unknown"}
