@@ -6,7 +6,7 @@
     spark.read.format("wav").option("rows", "samples").load(folder)      # or headers, or files
     samples.write.format("wav").option("rate", 16000).mode("append").save(folder)
 
-Files are dealt to tasks by size, and a long WAV file by ranges of samples. A file's name is its medium's, quoted as in URLs.
+Files are dealt to tasks by size, and a long WAV file by ranges of samples; many small ones share a task. A file's name is its medium's, quoted as in URLs.
 Written rows must be sorted by medium and place in each task, with all of a medium in one: repartition("media")
 and sortWithinPartitions. Files go through pyarrow's file systems and become visible when the job is committed.
 """
@@ -36,8 +36,10 @@ ROWS = {
     "files": "media string, content binary",
 }
 KINDS = ("vtt", "srt", "ass")
-#: Bytes of files that one task reads, unless the option "split" says otherwise.
+#: Bytes of files that one task reads, unless the option "split" says otherwise, and of a range of a WAV file.
 SPLIT = 32 << 20
+#: Beyond so many tasks, each takes more files or ranges than "split" says, but not more than SPLIT.
+TASKS = 64
 #: Rows of a batch that a reader gives out, and samples of WAV files.
 BATCH, SAMPLES = 8192, 1 << 18
 
@@ -87,11 +89,16 @@ def cues_of(content: str, kind: str) -> Iterator[tuple[int, int, str]]:
 
 @dataclass
 class Files(InputPartition):
-    """Files of one task: path, size, and for samples the first one and how many."""
+    """Files of one task: path and size."""
 
     names: list[tuple[str, int]]
-    first: int = 0
-    count: int | None = None
+
+
+@dataclass
+class Ranges(InputPartition):
+    """Samples of one task: path and size of a file, the first sample and how many at most."""
+
+    pieces: list[tuple[str, int, int, int]]
 
 
 def _medium(path: str) -> tuple[str, str]:
@@ -109,8 +116,13 @@ class _Reader(DataSourceReader):
         _, found = storage.visible(self.path)
         return [(f.path, f.size) for f in found if _medium(f.path)[1] in self.kinds]
 
-    def partitions(self) -> list[Files]:
-        return [Files(x) for x in storage.packed(self.files(), self.split)] or [Files([])]  # none at all would be read as a partition of None
+    def room(self, files: list[tuple[str, int]]) -> int:
+        """Bytes of one task's files, opening them included."""
+        return max(self.split, min(SPLIT, sum(n + storage.OPEN for _, n in files) // TASKS))
+
+    def partitions(self) -> list[InputPartition]:
+        files = self.files()
+        return [Files(x) for x in storage.packed(files, self.room(files))] or [Files([])]  # none at all would be read as a partition of None
 
     def content(self, path: str) -> bytes:
         store, _ = storage.opened(self.path)
@@ -151,40 +163,75 @@ class WavReader(_Reader):
         super().__init__(options)
         self.rows = options.get("rows", "samples")
 
-    def header(self, store, path: str, size: int) -> dict | None:
-        with store.open_input_file(path) as f:
-            return audio.header(f.read(min(size, 1 << 16)), size) or audio.header(f.read(size) if f.seek(0) == 0 else b"", size)
-
-    def partitions(self) -> list[Files]:
-        """Files by size; of samples, a long file in ranges, and the rest of a small one's group as it is."""
-        small = [x for x in self.files() if self.rows != "samples" or x[1] <= self.split]
-        parts = [Files(x) for x in storage.packed(small, self.split)]
-        store, _ = storage.opened(self.path)
-        for path, size in self.files() if self.rows == "samples" else []:
-            if size > self.split and (h := self.header(store, path, size)):
-                step = max(1, self.split // max(1, h["align"]))
-                parts += [Files([(path, size)], at, step) for at in range(0, h["size"] // max(1, h["align"]), step)]
-        return parts or [Files([])]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def header(self, f, size: int) -> dict | None:
+        head = f.read(min(size, 1 << 16))
+        if (h := audio.header(head, size)) or size <= len(head) or head[:4] != b"RIFF":
+            return h
+        f.seek(0)
+        return audio.header(f.read(size), size)
+
+    def partitions(self) -> list[InputPartition]:
+        """Files by size; samples of files over `split` bytes in ranges of as many, of which a task takes those that fit."""
+        if self.rows != "samples":
+            return super().partitions()
+        files, step = self.files(), max(1, self.split // 2)
+        room, left = self.room(files), -1
+        parts: list[Ranges] = []
+        for path, size in files:
+            at, n = 0, size // 2  # with the header, so there may be fewer
+            while at < n:
+                one = storage.OPEN + min(size, 2 * step)
+                if not parts or left < one:
+                    parts.append(Ranges([]))
+                    left = room
+                many = max(1, (left - storage.OPEN) // (2 * step)) * step if size > self.split else n
+                parts[-1].pieces.append((path, size, at, many))
+                left -= storage.OPEN + 2 * min(many, n - at)
+                at += many
+        return parts or [Ranges([])]
+
+    def pieces(self, store, ranges: list[tuple[str, int, int, int]]) -> Iterator[tuple[str, int, np.ndarray]]:
+        """Medium, place of the first sample, and samples, at most SAMPLES at once."""
+        for path, size, first, count in ranges:
+            with store.open_input_file(path) as f:
+                h = self.header(f, size)
+                if not h or (h["format"], h["channels"], h["bits"]) != (1, 1, 16):
+                    continue
+                end = min(h["size"] // 2, first + count)
+                f.seek(h["offset"] + 2 * first)
+                for at in range(first, end, SAMPLES):
+                    yield _medium(path)[0], at, np.frombuffer(f.read(2 * min(SAMPLES, end - at)), "<i2")
+
+    def _batch(self, held: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+        names, firsts, xs = zip(*held, strict=True)
+        sizes = [len(x) for x in xs]
+        media = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(names), dtype=np.int32), sizes), pa.array(names, pa.string())).cast(pa.string())
+        i = np.concatenate([np.arange(at, at + n) for at, n in zip(firsts, sizes, strict=True)])
+        return pa.RecordBatch.from_arrays([media, pa.array(i), pa.array(np.concatenate(xs) / 32768)], names=["media", "i", "x"])
+
+    def read(self, partition: Files | Ranges) -> Iterator[pa.RecordBatch]:
         store, _ = storage.opened(self.path)
+        if isinstance(partition, Ranges):
+            held: list[tuple[str, int, np.ndarray]] = []
+            n = 0
+            for piece in self.pieces(store, partition.pieces):
+                if held and n + len(piece[2]) > SAMPLES:
+                    yield self._batch(held)
+                    held, n = [], 0
+                held.append(piece)
+                n += len(piece[2])
+            if held:
+                yield self._batch(held)
+            return
         for path, size in partition.names:
             media = _medium(path)[0]
             if self.rows == "files":
                 yield pa.RecordBatch.from_pydict({"media": pa.array([media]), "content": pa.array([self.content(path)], pa.binary())})
                 continue
-            h = self.header(store, path, size)
-            if self.rows == "headers":
-                names = ["format", "channels", "rate", "align", "bits", "offset", "size"]
-                yield pa.RecordBatch.from_pydict({"media": pa.array([media])} | {n: pa.array([h and h[n]], pa.int64()) for n in names})
-            elif h and (h["format"], h["channels"], h["bits"]) == (1, 1, 16):
-                n = h["size"] // 2
-                with store.open_input_file(path) as f:
-                    f.seek(h["offset"] + 2 * partition.first)
-                    for at in range(partition.first, min(n, partition.first + (partition.count or n)), SAMPLES):
-                        many = min(SAMPLES, n - at, partition.first + (partition.count or n) - at)
-                        x = np.frombuffer(f.read(2 * many), "<i2") / 32768
-                        yield pa.RecordBatch.from_pydict({"media": pa.array([media] * len(x)), "i": pa.array(np.arange(at, at + len(x))), "x": pa.array(x)})
+            with store.open_input_file(path) as f:
+                h = self.header(f, size)
+            names = ["format", "channels", "rate", "align", "bits", "offset", "size"]
+            yield pa.RecordBatch.from_pydict({"media": pa.array([media])} | {n: pa.array([h and h[n]], pa.int64()) for n in names})
 
 
 @dataclass

@@ -16,6 +16,9 @@ import uuid
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
+#: What opening a file costs, in bytes.
+OPEN = 1 << 16
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir; a local session that names none gets a folder of its own."""
@@ -96,10 +99,10 @@ def packed(files: list[tuple[str, int]], size: int) -> list[list[tuple[str, int]
     out: list[list[tuple[str, int]]] = []
     room = -1
     for name, n in files:
-        n += 1 << 16  # what opening a file costs
+        n += OPEN
         if room < n or not out:
             out.append([])
             room = size
-        out[-1].append((name, n - (1 << 16)))
+        out[-1].append((name, n - OPEN))
         room -= n
     return out

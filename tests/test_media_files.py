@@ -3,11 +3,12 @@
 import os
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark import TaskContext
 
 from cueloom import storage
-from cueloom.sources import bundles, media_files
+from cueloom.sources import audio, bundles, media_files
 
 CUES = "media string, start_ms long, end_ms long, text string"
 
@@ -111,3 +112,30 @@ def test_a_repeated_task_counts_once(spark, tmp_path):
     except Exception:  # noqa: BLE001  (a local session doesn't repeat tasks: the job is what is repeated)
         rows.mapInPandas(run, rows.schema).write.format("subtitles").option("kind", "srt").mode("append").save(path)
     assert os.path.exists(mark) and len(read(spark, path)) == 3
+
+
+def test_small_files_and_ranges_share_tasks(spark, tmp_path):
+    """Many small files take few tasks, and every sample of short, long, empty and other files comes out once at any split."""
+    mono = {"format": 1, "channels": 1, "rate": 1000, "align": 2, "bits": 16}
+    sizes = [i % 90 for i in range(400)] + [5_000, 100_000, 70_001]
+    want = {f"m{m}": (np.arange(n) * (m + 7) % 65_536 - 32_768).astype("<i2") for m, n in enumerate(sizes)}
+    for m, x in want.items():
+        (tmp_path / f"{m}.wav").write_bytes(audio.wav(x.tobytes(), mono))
+    (tmp_path / "stereo.wav").write_bytes(audio.wav(bytes(40_000), mono | {"channels": 2, "align": 4}))
+    (tmp_path / "other.wav").write_bytes(b"no" * 50_000)
+    far = want["far"] = np.arange(3_000, dtype="<i2")  # samples beyond the first 64 KB
+    whole = audio.wav(far.tobytes(), mono)
+    (tmp_path / "far.wav").write_bytes(whole[:36] + b"JUNK" + (70_000).to_bytes(4, "little") + bytes(70_000) + whole[36:])
+    for split in (1024, 1 << 16, media_files.SPLIT):
+        reader = media_files.WavReader({"path": str(tmp_path), "split": str(split)})
+        parts = reader.partitions()
+        assert len(parts) <= 2 * media_files.TASKS
+        got: dict = {}
+        for b in (b for p in parts for b in reader.read(p)):
+            assert 0 < len(b) <= media_files.SAMPLES
+            for m, i, x in zip(*(b.column(c).to_pylist() for c in ("media", "i", "x")), strict=True):
+                assert got.setdefault(m, {}).setdefault(i, x) is x
+        assert {m: [v[i] for i in range(len(v))] for m, v in got.items()} == {m: (x / 32768).tolist() for m, x in want.items() if len(x)}
+    media_files.register(spark)
+    read = spark.read.format("wav").option("split", 1024).load(str(tmp_path))
+    assert read.rdd.getNumPartitions() <= 2 * media_files.TASKS and read.count() == sum(map(len, want.values()))
