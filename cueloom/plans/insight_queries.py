@@ -49,8 +49,8 @@ def cursor_stream(spark, d):
     folder = storage.shared_dir(spark)
     rows = adapters.chunks(spark, d).groupBy("task_id", "chunk_idx").agg(F.max("n_cues").alias("n_cues"))
     rows.write.parquet(folder + "/in")
-    rows.write.mode("append").parquet(folder + "/in")
+    spark.read.schema(rows.schema).parquet(folder + "/in").write.mode("append").parquet(folder + "/in")
     live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(folder + "/in")
-    started = streams.cursor(live, after=2).writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/at").outputMode("append").trigger(availableNow=True).start()
+    started = streams.cursor(live, after=2, buckets=4096).writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/at").outputMode("append").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(rows.schema).parquet(folder + "/out")

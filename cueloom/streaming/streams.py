@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,15 +59,80 @@ class Cursor(StatefulProcessor):
         pass
 
 
-def cursor(chunks: DataFrame, after: int = -1, idle_ms: int | None = None) -> DataFrame:
+def deliver(marks: dict, beyond: dict, tasks: list, chunks: list, after: int) -> list[bool]:
+    """Which of the chunks are new, in turn; brings a bucket's marks and chunks beyond them (of tasks that have any) up to date."""
+    fresh = []
+    for t, i in zip(tasks, chunks, strict=True):
+        mark, late = marks.get(t, after), beyond.get(t)
+        new = i > mark and (late is None or i not in late)
+        fresh.append(new)
+        if not new:
+            continue
+        if i > mark + 1:
+            beyond.setdefault(t, set()).add(i)
+            continue
+        while late and i + 1 in late:
+            i += 1
+            late.remove(i)
+        marks[t] = i
+        if late is not None and not late:
+            del beyond[t]
+    return fresh
+
+
+def _bucket_cursor(chunks: DataFrame, after: int, idle_ms: int | None, buckets: int) -> DataFrame:
+    """The cursor with a row of state for each bucket of tasks."""
+    columns, task = chunks.columns, chunks.schema["task_id"].dataType
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, at, dues, late_of, late = state.getOption or ([], [], [], [], [])
+        marks, due, beyond = dict(zip(known, at, strict=True)), dict(zip(known, dues, strict=False)), {}
+        for t, i in zip(late_of, late, strict=True):
+            beyond.setdefault(t, set()).add(i)
+        now = 0 if idle_ms is None else state.getCurrentProcessingTimeMs()
+        for f in frames:
+            if not len(f):
+                continue
+            tasks = [None if none else t for t, none in zip(f["task_id"].tolist(), f["__none"].tolist(), strict=True)]
+            new = f[deliver(marks, beyond, tasks, f["chunk_idx"].tolist(), after)]
+            if idle_ms is not None:
+                due.update(dict.fromkeys(tasks, now + idle_ms))
+            if len(new):
+                yield new[[*columns, "__none"]].sort_values("chunk_idx", kind="stable")
+        for t in [t for t, d in due.items() if d <= now]:
+            del due[t]
+            marks.pop(t, None)
+            beyond.pop(t, None)
+        known = list(marks if idle_ms is None else due)
+        if known or beyond:
+            pairs = [(t, i) for t, late in beyond.items() for i in late]
+            state.update((known, [marks.get(t, after) for t in known], list(due.values()), [t for t, _ in pairs], [i for _, i in pairs]))
+            if due:
+                state.setTimeoutDuration(min(due.values()) - now)
+        elif state.exists:
+            state.remove()
+
+    # a null among numbers would make floats of them all
+    filled = chunks.withColumns({"__none": F.col("task_id").isNull(), "__bucket": F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int"), "task_id": F.coalesce("task_id", F.lit("0").cast(task))})
+    kept = f"known array<{task.simpleString()}>, at array<bigint>, dues array<bigint>, late_of array<{task.simpleString()}>, late array<bigint>"
+    out = filled.groupBy("__bucket").applyInPandasWithState(run, filled.drop("__bucket").select(*columns, "__none").schema, kept, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return out.withColumn("task_id", F.when(~F.col("__none"), F.col("task_id"))).select(*columns)
+
+
+def cursor(chunks: DataFrame, after: int = -1, idle_ms: int | None = None, buckets: int | None = None) -> DataFrame:
     """chunks (task_id, chunk_idx, ...), replayed and live ones alike: each past `after` once, those of one Arrow batch in order.
 
     Chunks are numbered from after + 1. A task's state is one number and the chunks beyond the first that is missing, so it
-    stays small where chunks come in order; a late chunk still comes out, a repeated one doesn't. A chunk without a
-    number is dropped. With idle_ms a task's state goes once nothing came for so long: a chunk repeated later than that comes
-    out again. Needs the RocksDB state store, which it sets for the session.
+    stays small where chunks come in order; a late chunk still comes out, a repeated one doesn't. A chunk up to `after` or without a
+    number is dropped. With idle_ms a task's state goes once no other chunk came for so long: a chunk repeated later than that comes
+    out again. With buckets, for streams of very many tasks, tasks are dealt by hash over so many groups of one row of state
+    each, instead of a group for each task; a micro-batch writes the rows of those that it touches. A checkpoint goes on with the
+    number that it began with. Needs the RocksDB state store, which it sets for the session.
     """
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    chunks = chunks.where(F.col("chunk_idx") > after)
+    if buckets is not None:
+        return _bucket_cursor(chunks, after, idle_ms, buckets)
     return chunks.groupBy("task_id").transformWithStateInPandas(Cursor(after, idle_ms, chunks.columns), chunks.schema, "append", "None" if idle_ms is None else "ProcessingTime")
 
 

@@ -95,6 +95,29 @@ def test_cursor_across_restarts(spark, tmp_path):
     assert [(r.key.task_id, r.user_map_key.idx) for r in held] == [(3, 5)]  # of five chunks of task 1 nothing is kept
 
 
+def test_cursor_by_buckets(spark, tmp_path):
+    """Tasks that share rows of state, with late, repeated and replayed chunks, restarts, and chunks without a task."""
+    schema = "task_id long, chunk_idx int, cues string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    rng = random.Random(3)
+    tasks = [None, 0, 2**60, 2**60 + 1, *range(1, 60)]
+    chunks = [(t, i, f"{t}-{i}") for t in tasks for i in range(rng.randint(1, 9))]
+    rng.shuffle(chunks)
+    third = len(chunks) // 3
+    for part in (chunks[: 2 * third], chunks[third:], [*chunks, *chunks, (5, None, ""), (5, 1, "5-1")]):
+        spark.createDataFrame(part, schema).coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = streams.cursor(live, after=1, buckets=4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen = chunks[: 2 * third] if len(part) == 2 * third and part[0] == chunks[0] else chunks
+        got = [tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()]
+        assert sorted(got, key=repr) == sorted((c for c in seen if c[1] > 1), key=repr)
+    held = [r.value.groupState for r in spark.read.format("statestore").load(str(tmp_path / "at")).collect()]
+    ends: dict = {t: max(i for u, i, _ in chunks if u == t) for t in tasks}
+    assert len(held) <= 4 and sum(len(h.late) for h in held) == 0  # a row a bucket: once all came, a number a task
+    assert {t: m for h in held for t, m in zip(h.known, h.at, strict=True)} == {t: m for t, m in ends.items() if m > 1}
+
+
 def packed(durations, cap):
     chunk = used = 0
     out = []
