@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,25 @@ def test_cursor_by_buckets(spark, tmp_path):
     assert {t: m for h in held for t, m in zip(h.known, h.at, strict=True)} == {t: m for t, m in ends.items() if m > 1}
 
 
+@pytest.mark.parametrize("buckets", [None, 1, 64])
+def test_cursor_forgets_idle_tasks(spark, tmp_path, buckets):
+    schema = "task_id long, chunk_idx long"
+    for name, idle, want in (("short", 1, [(1, 0), (1, 0), (2, 0)]), ("long", 3_600_000, [(1, 0), (2, 0)])):
+        path = tmp_path / name
+        spark.createDataFrame([], schema).write.parquet(str(path / "in"))
+        live = spark.readStream.schema(schema).parquet(str(path / "in"))
+        q = streams.cursor(live, idle_ms=idle, buckets=buckets).writeStream.format("parquet").option("path", str(path / "out")).option("checkpointLocation", str(path / "at")).trigger(processingTime="1 second").start()
+        try:
+            for n, row in enumerate(((1, 0), (2, 0), (1, 0)), 1):
+                spark.createDataFrame([row], schema).write.mode("append").parquet(str(path / "in"))
+                end = time.time() + 60  # batches for timers never cease, so processAllAvailable wouldn't return
+                while q.isActive and time.time() < end and sum(p.numInputRows for p in q.recentProgress) < n:
+                    time.sleep(0.2)
+        finally:
+            q.stop()
+        assert sorted(map(tuple, spark.read.schema(schema).parquet(str(path / "out")).collect())) == want
+
+
 def packed(durations, cap):
     chunk = used = 0
     out = []
